@@ -1,0 +1 @@
+"""Empty on purpose: every operator of the engine is a batch operator (see README)."""
