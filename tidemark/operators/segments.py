@@ -45,7 +45,10 @@ def place_cutoffs(examples: DataFrame, windows: Sequence[float] = ()) -> DataFra
 
 def roll_up(cells: DataFrame, examples: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
             windows: Sequence[float] = ()) -> DataFrame:
-    """Combine the cells that precede each cutoff into one row per (subject, cutoff, keys)."""
+    """Combine the cells that precede each cutoff into one row per (subject, cutoff, keys).
+
+    ``windows`` must be those the cells were placed with.
+    """
     placed = place_cutoffs(examples.select("subject_id", "cutoff").distinct(), windows)
     met = cells.join(placed, "subject_id").filter(F.col("seg") < F.col("hi"))
     return met.groupBy("subject_id", "cutoff", *keys).agg(*aggregates)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.config import ExampleConfig, FeatureConfig, SequenceConfig, Span, TableSpec, TimelineSpec
 from tidemark.functions.hashing import draw
 from tidemark.functions.time import span_of
-from tidemark.operators import examples as E, labels as L, timeline as TL
+from tidemark.operators import examples as E, features as FE, labels as L, stats as ST, timeline as TL
 from tidemark.session import configure
 from tidemark.sources.materialise import materialise
 from tidemark.sources.tables import scan_event_table, scan_targets, scan_text_answers
@@ -104,6 +104,38 @@ class Timeline:
         return self.cohort.filter(F.col("split") == "train").select("subject_id")
 
 
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return ST.fit_vocabulary(self.events, self.scope, self.feature_cfg)
+
+    @cached_property
+    def labs(self) -> DataFrame:
+        return ST.lab_coverage(self.events, self.scope, self.feature_cfg)
+
+    @cached_property
+    def usable(self) -> DataFrame:
+        return FE.usable_events(self.events, self.vocabulary, self.feature_cfg)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return FE.event_cells(self.usable, self.rolling, self.feature_cfg)
+
+    @cached_property
+    def rolling_labels(self) -> DataFrame:
+        return L.label_pairs(self.rolling, self.first, self.targets)
+
+    @cached_property
+    def target_tokens(self) -> DataFrame:
+        return self.targets.select(F.concat_ws("_", F.lit(self.spec.target_kind), "code").alias("token"))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """All blocks for the rolling examples."""
+        return self.stored("features", lambda: FE.build_features(
+            self.events, self.rolling, self.rolling_labels, self.cohort, self.scope, self.target_tokens,
+            self.feature_cfg, self.spec.demographics))
+
+
 class Purchases(Timeline):
     name = "purchases"
     inputs = ("orders", "lineitem", "part", "customer", "nation", "region")
