@@ -61,8 +61,8 @@ def event_cells(usable: DataFrame, examples: DataFrame, cfg: FeatureConfig) -> D
     return placed.groupBy("subject_id", "kind", "token", "seg").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.sum("cost").alias("cost"), F.count("cost").alias("n_cost"),
-        F.count(value).alias("nv"), F.sum(t).alias("st"), F.sum(value).alias("sv"), F.sum(t * t).alias("stt"),
-        F.sum(t * value).alias("stv"), F.min(F.when(value.isNotNull(), F.col("ts"))).alias("first_v"),
+        F.count(value).alias("nv"), F.avg(t).alias("mt"), F.avg(value).alias("mv"),
+        (F.var_pop(t) * F.count(t)).alias("ctt"), (F.covar_pop(t, value) * F.count(t)).alias("ctv"), F.min(F.when(value.isNotNull(), F.col("ts"))).alias("first_v"),
         F.max(F.when(value.isNotNull(), F.struct(F.col("ts").alias("ts"), value.alias("value")))).alias("last_v"),
     )
 
@@ -189,12 +189,20 @@ def reason_block(counts: DataFrame, cfg: FeatureConfig) -> DataFrame:
 def lab_slope(cells: DataFrame, examples: DataFrame, labs: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Least-squares slope of value on time in units per year; null below two distinct instants."""
     mine = cells.filter("nv > 0").join(labs.select("token"), "token", "left_semi")
+    # Centred moments, at most one entry per stretch; combining them this way keeps the
+    # digits that plain power sums lose when readings lie close together.
+    parts = F.collect_list(F.struct("nv", "mt", "mv", "ctt", "ctv"))
     sums = roll_up(mine, examples, ["token"], [
-        *[F.sum(c).alias(c) for c in ("nv", "st", "sv", "stt", "stv")],
-        F.min("first_v").alias("lo"), F.max("last_v.ts").alias("hi_ts")], _windows(cfg))
-    k, st, sv, stt, stv = (F.col(c) for c in ("nv", "st", "sv", "stt", "stv"))
-    slope = F.when(F.col("lo") < F.col("hi_ts"), F.try_divide(k * stv - st * sv, k * stt - st * st))
-    return sums.select(*KEY, "token", slope.alias("slope"))
+        parts.alias("parts"), F.min("first_v").alias("lo"), F.max("last_v.ts").alias("hi_ts")], _windows(cfg))
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + f(p))
+    means = sums.withColumn("n", total(lambda p: p["nv"].cast("double")))
+    means = means.withColumn("tm", total(lambda p: p["nv"] * p["mt"]) / F.col("n"))
+    means = means.withColumn("vm", total(lambda p: p["nv"] * p["mv"]) / F.col("n"))
+    tm, vm = F.col("tm"), F.col("vm")
+    spread = total(lambda p: p["ctt"] + p["nv"] * (p["mt"] - tm) * (p["mt"] - tm))
+    cross = total(lambda p: p["ctv"] + p["nv"] * (p["mt"] - tm) * (p["mv"] - vm))
+    slope = F.when(F.col("lo") < F.col("hi_ts"), F.try_divide(cross, spread))
+    return means.select(*KEY, "token", slope.alias("slope"))
 
 
 def slope_block(slopes: DataFrame, examples: DataFrame, labs: DataFrame) -> DataFrame:
@@ -261,13 +269,17 @@ def assemble(blocks: list[DataFrame]) -> DataFrame:
 
 
 def build_features(events: DataFrame, examples: DataFrame, labels: DataFrame, cohort: DataFrame, scope: DataFrame,
-                   target_tokens: DataFrame, cfg: FeatureConfig, demographics: tuple[str, ...]) -> DataFrame:
-    """All eleven blocks for the given examples, every statistic fitted on the scope."""
+                   target_tokens: DataFrame, cfg: FeatureConfig, demographics: tuple[str, ...],
+                   cells: DataFrame | None = None) -> DataFrame:
+    """All eleven blocks for the given examples, every statistic fitted on the scope.
+
+    Six blocks read the cells; pass them stored, so that they are built once.
+    """
     vocabulary = stats.fit_vocabulary(events, scope, cfg)
     edges = stats.fit_value_edges(events, scope, cfg)
     labs = stats.lab_coverage(events, scope, cfg)
     usable = usable_events(events, vocabulary, cfg)
-    cells = event_cells(usable, examples, cfg)
+    cells = event_cells(usable, examples, cfg) if cells is None else cells
     shape = history_shape(usable, cells, examples, cfg)
     tracked = tracked_tokens(vocabulary, target_tokens, cfg)
     return assemble([

@@ -261,10 +261,10 @@ def _(spark, folder):
     return _day(FE.reason_counts(a.events, a.rolling, reasons, a.feature_cfg))
 
 
-@query("F12_lab_slope", wf(f"select subject_id, {DAY}, token, round(slope, 4) + 0.0 slope from a_slopes"))
+@query("F12_lab_slope", wf(f"select subject_id, {DAY}, token, round(slope + 1e-7, 4) + 0.0 slope from a_slopes"))
 def _(spark, folder):
     a = Purchases(spark, folder)
-    return _day(FE.lab_slope(a.cells, a.rolling, a.labs, a.feature_cfg)).withColumn("slope", tidy("slope", 4))
+    return _day(FE.lab_slope(a.cells, a.rolling, a.labs, a.feature_cfg)).withColumn("slope", tidy(F.col("slope") + 1e-7, 4))
 
 
 @query("F13_time_since_last", wf(f"select subject_id, {DAY}, token, round(since, 6) + 0.0 since from a_since"))

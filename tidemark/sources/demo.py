@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.config import ExampleConfig, FeatureConfig, SequenceConfig, Span, TableSpec, TimelineSpec
 from tidemark.functions.hashing import draw
+from tidemark.functions.scalars import sigmoid
 from tidemark.functions.time import span_of
-from tidemark.operators import examples as E, features as FE, labels as L, stats as ST, timeline as TL
+from tidemark.operators import examples as E, features as FE, folds as FO, labels as L, stats as ST, timeline as TL
 from tidemark.session import configure
 from tidemark.sources.materialise import materialise
 from tidemark.sources.tables import scan_event_table, scan_targets, scan_text_answers
@@ -118,7 +119,7 @@ class Timeline:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return FE.event_cells(self.usable, self.rolling, self.feature_cfg)
+        return self.stored("cells", lambda: FE.event_cells(self.usable, self.rolling, self.feature_cfg))
 
     @cached_property
     def rolling_labels(self) -> DataFrame:
@@ -133,7 +134,7 @@ class Timeline:
         """All blocks for the rolling examples."""
         return self.stored("features", lambda: FE.build_features(
             self.events, self.rolling, self.rolling_labels, self.cohort, self.scope, self.target_tokens,
-            self.feature_cfg, self.spec.demographics))
+            self.feature_cfg, self.spec.demographics, self.cells))
 
 
 class Purchases(Timeline):
@@ -197,6 +198,36 @@ class Purchases(Timeline):
     def targets(self) -> DataFrame:
         return scan_targets(self.driver.spark, BRANDS)
 
+    @cached_property
+    def folds(self) -> DataFrame:
+        return FO.grouped_folds(self.scope)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Two deterministic models over all (subject, brand) pairs, with labels and folds.
+
+        Model a scores by all earlier purchases of the brand, model b by those of the last year;
+        both fall with the time since the last event. Subjects outside the folds have fold -1.
+        """
+        return self.stored("scores", self._scores)
+
+    def _scores(self) -> DataFrame:
+        cells = FE.event_cells(self.usable, self.examples, self.feature_cfg)
+        counts = FE.nested_counts(cells, self.examples, self.feature_cfg)
+        mine = counts.filter(F.col("token").startswith("ITEM_")).select(
+            "subject_id", F.substring_index("token", "_", -1).alias("code"), "n_365d", "n_ever")
+        last = cells.groupBy("subject_id").agg(F.max("last_ts").alias("last"))
+        pairs = (self.labels.select("subject_id", "cutoff", "split", "code", "y", "prevalent", "at_risk")
+                 .join(mine, ["subject_id", "code"], "left").join(last, "subject_id", "left")
+                 .join(self.folds, "subject_id", "left"))
+        years = F.coalesce(FE.days_between(F.col("last"), F.col("cutoff")), F.lit(3650.0)) / 365.25
+        score = lambda n: F.round(sigmoid(F.lit(-2.0) + 0.3 * F.coalesce(F.col(n), F.lit(0)) - 0.1 * years), 6)
+        models = F.explode(F.array(F.struct(F.lit("a").alias("model"), score("n_ever").alias("p")),
+                                   F.struct(F.lit("b").alias("model"), score("n_365d").alias("p"))))
+        return pairs.select("subject_id", "split", "code", "y", "prevalent", "at_risk",
+                            F.coalesce("fold", F.lit(-1)).alias("fold"), models.alias("m")).select(
+            "*", "m.model", "m.p").drop("m")
+
 
 class Activity(Timeline):
     name = "activity"
