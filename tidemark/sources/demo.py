@@ -14,7 +14,7 @@ from tidemark.config import ExampleConfig, FeatureConfig, SequenceConfig, Span,
 from tidemark.functions.hashing import draw
 from tidemark.functions.scalars import sigmoid
 from tidemark.functions.time import span_of
-from tidemark.operators import examples as E, features as FE, folds as FO, labels as L, stats as ST, timeline as TL
+from tidemark.operators import examples as E, features as FE, folds as FO, labels as L, sequences as SQ, stats as ST, timeline as TL
 from tidemark.session import configure
 from tidemark.sources.materialise import materialise
 from tidemark.sources.tables import scan_event_table, scan_targets, scan_text_answers
@@ -121,6 +121,28 @@ class Timeline:
     def cells(self) -> DataFrame:
         return self.stored("cells", lambda: FE.event_cells(self.usable, self.rolling, self.feature_cfg))
 
+    @cached_property
+    def sequence_vocab(self) -> SQ.Vocabulary:
+        """The fitted vocabulary; its three small tables are stored, as every tokenised event looks them up."""
+        fitted = []
+
+        def fit() -> SQ.Vocabulary:
+            if not fitted:
+                fitted.append(SQ.build_vocab(self.events, self.cohort, self.scope, self.sequence_cfg,
+                                             self.spec.kind_order, self.spec.demographics, self.answers))
+            return fitted[0]
+
+        return SQ.Vocabulary(self.stored("vocab", lambda: fit().tokens), self.stored("edges", lambda: fit().edges),
+                             self.stored("reasons", lambda: fit().reasons))
+
+    answers = None
+
+    @cached_property
+    def sequences(self) -> DataFrame:
+        return self.stored("sequences", lambda: SQ.build_sequences(
+            self.events, self.rolling, self.cohort, self.sequence_vocab, self.sequence_cfg, self.spec.kind_order,
+            self.spec.demographics, self.answers))
+
     @cached_property
     def rolling_labels(self) -> DataFrame:
         return L.label_pairs(self.rolling, self.first, self.targets)
@@ -235,7 +257,7 @@ class Activity(Timeline):
     spec = TimelineSpec(Span(7, "day"), "view", KINDS_B, ("signup",), "purchase", ("device",))
     example_cfg = ExampleConfig(Span(7, "day"), Span(7, "day"), 10, ("train",))
     feature_cfg = FeatureConfig(windows=(1.0, 7.0), rate_window=3.0, cap_days=30.0, shape_kinds=KINDS_B, n_common=5)
-    sequence_cfg = SequenceConfig(block_size=32, min_events_per_bin=15)
+    sequence_cfg = SequenceConfig(block_size=32, min_events_per_bin=12, text_answers=True)
 
     @cached_property
     def raw(self) -> DataFrame:
