@@ -88,20 +88,27 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
                     out: str = "quantiles") -> DataFrame:
     """Linearly interpolated quantiles per group as one array, exact for any group size.
 
-    Rows first collapse to distinct values with counts (combined before the shuffle); the
-    two values around each wanted position are then picked out of the prefix sums.
+    Rows first collapse to distinct values with counts, combined before the shuffle.
     """
     by = list(by)
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
                .agg(F.count(F.lit(1)).alias("_n")))
-    ranked = prefix_sums(counted, by, value, ["_n"])
-    first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n")
+    return counted_quantiles(counted, by, value, "_n", probs, out)
+
+
+def counted_quantiles(counted: DataFrame, by: Sequence[str], value: str, count: str, probs: Sequence[float],
+                      out: str = "quantiles") -> DataFrame:
+    """``exact_quantiles`` of a table of distinct values with counts."""
+    by = list(by)
+    ranked = prefix_sums(counted, by, value, [count])
+    total, first = F.col(f"{count}_total"), F.col(f"{count}_before")
+    last = first + F.col(count)
     picks = []
     for i, q in enumerate(probs):
-        at = (F.col("_n_total") - 1) * F.lit(float(q))
+        at = (total - 1) * F.lit(float(q))
         for name, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             picks.append(F.max(F.when((first <= pos) & (pos < last), F.col(value))).alias(f"_{name}{i}"))
-    groups = ranked.groupBy(*by).agg(F.max("_n_total").alias("_size"), *picks)
+    groups = ranked.groupBy(*by).agg(F.max(total).alias("_size"), *picks)
     values = []
     for i, q in enumerate(probs):
         at = (F.col("_size") - 1) * F.lit(float(q))

@@ -34,7 +34,8 @@ def fingerprint(spark: SparkSession, inputs: Sequence[str], *configs) -> str:
     return hashlib.sha256("|".join(parts).encode()).hexdigest()[:24]
 
 
-def _is_complete(spark: SparkSession, path: str) -> bool:
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark write to the folder has been committed."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
@@ -48,6 +49,6 @@ def materialise(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     """
     root = root or f"{checkpoint_dir(spark)}/tidemark"
     path = f"{root}/{name}/{fingerprint(spark, inputs, *configs)}"
-    if rebuild or not _is_complete(spark, path):
+    if rebuild or not is_complete(spark, path):
         build().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
