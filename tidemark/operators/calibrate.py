@@ -12,7 +12,6 @@ from tidemark.operators.metrics import label_metrics, macro
 
 # Fixed value: inverse penalty on the slope.
 _C = 1e6
-_MAX_STEP = 5.0
 
 
 def platt_points(rows: DataFrame, min_pos: int = 5) -> DataFrame:
@@ -27,11 +26,11 @@ def platt_points(rows: DataFrame, min_pos: int = 5) -> DataFrame:
         "code", "x", (F.col("pos") + F.col("neg")).alias("w"), (F.col("pos") * high + F.col("neg") * low).alias("t"))
 
 
-def fit_platt(rows: DataFrame, min_pos: int = 5, allow_negative: bool = True, max_steps: int = 25,
-              tol: float = 1e-10) -> DataFrame:
-    """(code, a, b, ok) of ``sigmoid(a * logit(p) + b)`` by Newton steps.
+def fit_platt(rows: DataFrame, min_pos: int = 5, allow_negative: bool = True, max_steps: int = 60,
+              tol: float = 1e-9) -> DataFrame:
+    """(code, a, b, ok) of ``sigmoid(a * logit(p) + b)`` by safeguarded Newton steps.
 
-    Scores collapse to distinct points once; each step is one aggregate that returns five
+    Scores collapse to distinct points once; each step is one aggregate that returns six
     sums per code, so what reaches the driver is bounded by the declared number of targets.
     Codes with too few positives or negatives, or with a slope of the unwanted sign, get
     a = 1, b = 0, ok = false and pass through.
@@ -42,15 +41,16 @@ def fit_platt(rows: DataFrame, min_pos: int = 5, allow_negative: bool = True, ma
         raise ValueError(f"more than {MAX_TARGETS} codes")
     points = platt_points(rows, min_pos).persist()
     try:
-        params = {r["code"]: (1.0, 0.0) for r in points.select("code").distinct().collect()}
+        searches = {r["code"]: _Search() for r in points.select("code").distinct().collect()}
         for _ in range(max_steps):
-            if not params:
-                break
-            params, moved = _step(spark, points, params)
-            if moved < tol:
+            trial = {c: s.trial for c, s in searches.items() if s.moved > tol}
+            if not trial:
                 break
+            for code, sums in _sums(spark, points, trial).items():
+                searches[code].visit(sums)
     finally:
         points.unpersist()
+    params = {c: s.best for c, s in searches.items()}
     out = []
     for code in sorted(codes):
         a, b = params.get(code, (1.0, 0.0))
@@ -59,28 +59,45 @@ def fit_platt(rows: DataFrame, min_pos: int = 5, allow_negative: bool = True, ma
     return spark.createDataFrame(out, "code string, a double, b double, ok boolean")
 
 
-def _step(spark, points: DataFrame, params: dict) -> tuple[dict, float]:
-    table = spark.createDataFrame([(c, a, b) for c, (a, b) in params.items()], "code string, a double, b double")
-    q = sigmoid(F.col("a") * F.col("x") + F.col("b"))
-    joined = points.join(table, "code").withColumn("q", q)
+class _Search:
+    """Newton's method on one code's two parameters; a step that raises the loss is halved."""
+
+    def __init__(self):
+        self.trial = self.best = (1.0, 0.0)
+        self.loss, self.step, self.moved = math.inf, (0.0, 0.0), math.inf
+
+    def visit(self, sums) -> None:
+        a, b = self.trial
+        loss = sums["loss"] + a * a / (2.0 * _C)
+        if loss <= self.loss + 1e-12 * abs(self.loss if math.isfinite(self.loss) else 0.0):
+            self.best, self.loss = self.trial, loss
+            ga, haa = sums["rx"] + a / _C, sums["hxx"] + 1.0 / _C
+            det = haa * sums["h"] - sums["hx"] * sums["hx"]
+            if math.isfinite(det) and det > 0.0:
+                self.step = ((sums["h"] * ga - sums["hx"] * sums["r"]) / det, (haa * sums["r"] - sums["hx"] * ga) / det)
+            else:
+                self.step = (ga, sums["r"])
+        else:
+            self.step = (self.step[0] / 2.0, self.step[1] / 2.0)
+        self.moved = max(abs(self.step[0]), abs(self.step[1]))
+        if not math.isfinite(self.moved):
+            self.step, self.moved = (0.0, 0.0), 0.0
+        self.trial = (self.best[0] - self.step[0], self.best[1] - self.step[1])
+
+
+def _sums(spark, points: DataFrame, trial: dict) -> dict:
+    """Loss, gradient and curvature sums of every code at its trial parameters, from one aggregate."""
+    table = spark.createDataFrame([(c, a, b) for c, (a, b) in trial.items()], "code string, a double, b double")
+    z = F.col("a") * F.col("x") + F.col("b")
+    joined = points.join(table, "code").withColumn("z", z).withColumn("q", sigmoid("z"))
+    # log(1 + exp(z)) without overflow on either side.
+    soft = F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("z")))
     r, h = F.col("w") * F.col("q") - F.col("t"), F.col("w") * F.col("q") * (F.lit(1.0) - F.col("q"))
     x = F.col("x")
-    sums = joined.groupBy("code").agg(
-        F.sum(r).alias("r"), F.sum(r * x).alias("rx"), F.sum(h).alias("h"), F.sum(h * x).alias("hx"),
-        F.sum(h * x * x).alias("hxx"))
-    moved, new = 0.0, {}
-    for s in sums.collect():
-        a, b = params[s["code"]]
-        ga, haa = s["rx"] + a / _C, s["hxx"] + 1.0 / _C
-        det = haa * s["h"] - s["hx"] * s["hx"]
-        if not math.isfinite(det) or det <= 0.0:
-            new[s["code"]] = (a, b)
-            continue
-        da, db = (s["h"] * ga - s["hx"] * s["r"]) / det, (haa * s["r"] - s["hx"] * ga) / det
-        shrink = min(1.0, _MAX_STEP / max(abs(da), abs(db), 1e-300))
-        new[s["code"]] = (a - da * shrink, b - db * shrink)
-        moved = max(moved, abs(da * shrink), abs(db * shrink))
-    return new, moved
+    out = joined.groupBy("code").agg(
+        F.sum(F.col("w") * soft - F.col("t") * F.col("z")).alias("loss"), F.sum(r).alias("r"), F.sum(r * x).alias("rx"),
+        F.sum(h).alias("h"), F.sum(h * x).alias("hx"), F.sum(h * x * x).alias("hxx"))
+    return {row["code"]: row for row in out.collect()}
 
 
 def apply_platt(rows: DataFrame, params: DataFrame, floor: float = EPS) -> DataFrame:

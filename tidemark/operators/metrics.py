@@ -120,7 +120,8 @@ def paired_bootstrap(rows: DataFrame, a: str, b: str, n_boot: int, seed) -> Data
     """A minus B on the same resamples: delta, interval, sd and P(A > B) with ties counted half."""
     mine = rows.filter(F.col("model").isin(a, b))
     pick = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
-    gap = lambda c: (pick(a, c) - pick(b, c)).alias(f"d_{c}")
+    # Sums arrive in any order; twelve decimals keep equal models equal.
+    gap = lambda c: (F.round(pick(a, c) - pick(b, c), 12) + F.lit(0.0)).alias(f"d_{c}")
     deltas = bootstrap_metrics(mine, n_boot, seed).groupBy("replicate").agg(gap("macro_auroc"), gap("macro_ap"))
     wins = lambda c: F.avg(F.when(F.col(c) > 0, 1.0).when(F.col(c) == 0, 0.5).otherwise(0.0))
     spread = deltas.filter("d_macro_auroc is not null").agg(
