@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import Span
-from tidemark.operators.distributed import beside, exact_quantiles
+from tidemark.operators.distributed import beside, exact_quantiles, single_group
 
 # Fixed value: macro AUROC noise of one evaluation.
 SIGMA_MACRO_AUROC = 0.0104
@@ -30,7 +30,7 @@ def anchor_selection_report(cohort: DataFrame, terminal: DataFrame, held_out: st
     """How close the terminal event (subject_id, terminal) lies to the end of the window."""
     seen = cohort.filter(F.col("split") != held_out).join(terminal, "subject_id", "left")
     gap = F.datediff("terminal", "window_end")
-    rows = seen.withColumn("gap", gap).withColumn("_all", F.lit(1))
+    rows = single_group(seen.withColumn("gap", gap), "subject_id")
     near = lambda days: F.avg((F.abs("gap") <= days).cast("int"))
     shares = rows.agg(
         F.count(F.lit(1)).alias("n"), F.count("terminal").alias("n_terminal"),

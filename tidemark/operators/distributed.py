@@ -28,6 +28,14 @@ def _preceding(window):
     return window.rowsBetween(W.unboundedPreceding, -1)
 
 
+def single_group(df: DataFrame, column: str, out: str = "_all") -> DataFrame:
+    """Add a group column of one value, for the helpers that need a group.
+
+    A literal would be folded out of the joins on it and leave a product behind.
+    """
+    return df.withColumn(out, F.pmod(F.xxhash64(column), F.lit(1)))
+
+
 def hash_rank(df: DataFrame, key: str, seed, within: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """0-based rank of ``key`` in the md5 permutation of ``seed``, plus the group size ``<out>_n``.
 

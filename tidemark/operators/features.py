@@ -7,6 +7,7 @@ per cell table and never paired with cutoffs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -268,29 +269,44 @@ def assemble(blocks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, blocks)
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """The small tables fitted on a scope. Several blocks look each up, so keep them stored."""
+
+    vocabulary: DataFrame
+    edges: DataFrame
+    labs: DataFrame
+    reasons: DataFrame
+
+    @classmethod
+    def on(cls, events: DataFrame, scope: DataFrame, cfg: FeatureConfig) -> Fitted:
+        return cls(stats.fit_vocabulary(events, scope, cfg), stats.fit_value_edges(events, scope, cfg),
+                   stats.lab_coverage(events, scope, cfg), stats.fit_reasons(events, scope, cfg))
+
+
 def build_features(events: DataFrame, examples: DataFrame, labels: DataFrame, cohort: DataFrame, scope: DataFrame,
                    target_tokens: DataFrame, cfg: FeatureConfig, demographics: tuple[str, ...],
-                   cells: DataFrame | None = None) -> DataFrame:
+                   fitted: Fitted | None = None, cells: DataFrame | None = None,
+                   shape: DataFrame | None = None) -> DataFrame:
     """All eleven blocks for the given examples, every statistic fitted on the scope.
 
-    Six blocks read the cells; pass them stored, so that they are built once.
+    Fitted tables, cells and history shape feed several blocks each; pass them stored, so that
+    raw events are read once for each and not once per block.
     """
-    vocabulary = stats.fit_vocabulary(events, scope, cfg)
-    edges = stats.fit_value_edges(events, scope, cfg)
-    labs = stats.lab_coverage(events, scope, cfg)
-    usable = usable_events(events, vocabulary, cfg)
+    fitted = fitted or Fitted.on(events, scope, cfg)
+    usable = usable_events(events, fitted.vocabulary, cfg)
     cells = event_cells(usable, examples, cfg) if cells is None else cells
-    shape = history_shape(usable, cells, examples, cfg)
-    tracked = tracked_tokens(vocabulary, target_tokens, cfg)
+    shape = history_shape(usable, cells, examples, cfg) if shape is None else shape
+    tracked = tracked_tokens(fitted.vocabulary, target_tokens, cfg)
     return assemble([
         counts_block(nested_counts(cells, examples, cfg), cfg),
-        decile_block(value_decile_counts(usable, examples, edges, cfg)),
+        decile_block(value_decile_counts(usable, examples, fitted.edges, cfg)),
         prevalent_block(labels),
         demographics_block(examples, cohort, scope, demographics),
         shape_block(shape),
-        lab_last_block(lab_last(cells, examples, labs, scope, cfg)),
-        reason_block(reason_counts(events, examples, stats.fit_reasons(events, scope, cfg), cfg), cfg),
-        slope_block(lab_slope(cells, examples, labs, cfg), examples, labs),
+        lab_last_block(lab_last(cells, examples, fitted.labs, scope, cfg)),
+        reason_block(reason_counts(events, examples, fitted.reasons, cfg), cfg),
+        slope_block(lab_slope(cells, examples, fitted.labs, cfg), examples, fitted.labs),
         time_since_block(time_since_last(cells, examples, tracked, cfg)),
         shape_block(cost_windows(cells, examples, cfg), "J_cost"),
         age_residual(shape, example_ages(examples, cohort), scope),

@@ -124,7 +124,7 @@ fragment("a_scores", """
     union all select subject_id, split, code, y, prevalent, at_risk, fold, 'b',
            round(1 / (1 + exp(-(-2.0 + 0.3 * n_365 - 0.1 * yrs))), 6) p from a_score_base""")
 fragment("d_scores", """
-    select 'toxic' code, 'n_chars' model, doc_id subject_id, toxic y, 1 at_risk, n_chars / (n_chars + 1000.0::double) p
+    select lang code, 'n_chars' model, doc_id subject_id, toxic y, 1 at_risk, n_chars / (n_chars + 1000.0::double) p
     from labels join documents using (doc_id)""")
 
 
@@ -164,8 +164,8 @@ def _population_metrics(spark, folder):
 
 def _toxic_metrics(spark, folder):
     d = Driver(spark, folder)
-    rows = d.table("labels").join(d.table("documents").select("doc_id", "n_chars"), "doc_id").select(
-        F.lit("n_chars").alias("model"), F.lit("all").alias("population"), F.lit("toxic").alias("code"),
+    rows = d.table("labels").join(d.table("documents").select("doc_id", "lang", "n_chars"), "doc_id").select(
+        F.lit("n_chars").alias("model"), F.lit("all").alias("population"), F.col("lang").alias("code"),
         F.col("toxic").alias("y"), (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("p"))
     return M.label_metrics(rows, ["model", "population", "code"])
 

@@ -162,7 +162,8 @@ def _(spark, folder):
 
 @query("F3_lab_coverage", wf("select token, n_subjects, round(coverage, 6) + 0.0 coverage from b_labs"))
 def _(spark, folder):
-    return _tidy(Activity(spark, folder).labs, "coverage")
+    b = Activity(spark, folder)
+    return _tidy(ST.lab_coverage(b.events, b.scope, b.feature_cfg), "coverage")
 
 
 @query("F4_point_in_time_expand", wf("""
@@ -200,8 +201,7 @@ def _(spark, folder):
 @query("F6_value_decile_counts", wf(f"select subject_id, {DAY}, token, bin, n from b_deciles"))
 def _(spark, folder):
     b = Activity(spark, folder)
-    edges = ST.fit_value_edges(b.events, b.scope, b.feature_cfg)
-    return _day(FE.value_decile_counts(b.usable, b.rolling, edges, b.feature_cfg))
+    return _day(FE.value_decile_counts(b.usable, b.rolling, b.fitted.edges, b.feature_cfg))
 
 
 @query("F7_prevalent_block", wf(f"""
@@ -257,8 +257,7 @@ def _(spark, folder):
 @query("F11_reason_counts", wf(f'select subject_id, {DAY}, reason, n1 "n_365d", n2 "n_1825d", n3 n_ever from a_reason_counts'))
 def _(spark, folder):
     a = Purchases(spark, folder)
-    reasons = ST.fit_reasons(a.events, a.scope, a.feature_cfg)
-    return _day(FE.reason_counts(a.events, a.rolling, reasons, a.feature_cfg))
+    return _day(FE.reason_counts(a.events, a.rolling, a.fitted.reasons, a.feature_cfg))
 
 
 @query("F12_lab_slope", wf(f"select subject_id, {DAY}, token, round(slope + 1e-7, 4) + 0.0 slope from a_slopes"))
@@ -289,8 +288,7 @@ def _(spark, folder):
 @query("F15_age_residual", wf(f"select subject_id, {DAY}, feature, round(v, 6) + 0.0 as value from a_resid"))
 def _(spark, folder):
     a = Purchases(spark, folder)
-    shape = FE.history_shape(a.usable, a.cells, a.rolling, a.feature_cfg)
-    return _tidy(_day(FE.age_residual(shape, FE.example_ages(a.rolling, a.cohort), a.scope)), "value").drop("block")
+    return _tidy(_day(FE.age_residual(a.shape, FE.example_ages(a.rolling, a.cohort), a.scope)), "value").drop("block")
 
 
 # ---------------------------------------------------------------- whole matrix

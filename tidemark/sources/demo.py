@@ -50,6 +50,8 @@ class Timeline:
 
     name: str
     inputs: tuple[str, ...]
+    # Where stored tables live; by default below the shared checkpoint folder.
+    root: str | None = None
 
     def __init__(self, spark: SparkSession, folder: str):
         self.driver = Driver(spark, folder)
@@ -58,7 +60,7 @@ class Timeline:
         """One of the few tables every later stage reads, written once per input state."""
         paths = [f"{self.driver.folder}/{t}.parquet" for t in self.inputs]
         configs = (self.spec, self.example_cfg, self.feature_cfg, self.sequence_cfg)
-        return materialise(self.driver.spark, f"{self.name}_{part}", build, paths, *configs)
+        return materialise(self.driver.spark, f"{self.name}_{part}", build, paths, *configs, root=self.root)
 
     @cached_property
     def splits(self) -> DataFrame:
@@ -107,11 +109,21 @@ class Timeline:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return ST.fit_vocabulary(self.events, self.scope, self.feature_cfg)
+        return self.stored("vocabulary", lambda: ST.fit_vocabulary(self.events, self.scope, self.feature_cfg))
 
     @cached_property
     def labs(self) -> DataFrame:
-        return ST.lab_coverage(self.events, self.scope, self.feature_cfg)
+        return self.stored("labs", lambda: ST.lab_coverage(self.events, self.scope, self.feature_cfg))
+
+    @cached_property
+    def fitted(self) -> FE.Fitted:
+        return FE.Fitted(
+            self.vocabulary, self.stored("value_edges", lambda: ST.fit_value_edges(self.events, self.scope, self.feature_cfg)),
+            self.labs, self.stored("feature_reasons", lambda: ST.fit_reasons(self.events, self.scope, self.feature_cfg)))
+
+    @cached_property
+    def shape(self) -> DataFrame:
+        return self.stored("shape", lambda: FE.history_shape(self.usable, self.cells, self.rolling, self.feature_cfg))
 
     @cached_property
     def usable(self) -> DataFrame:
@@ -156,7 +168,7 @@ class Timeline:
         """All blocks for the rolling examples."""
         return self.stored("features", lambda: FE.build_features(
             self.events, self.rolling, self.rolling_labels, self.cohort, self.scope, self.target_tokens,
-            self.feature_cfg, self.spec.demographics, self.cells))
+            self.feature_cfg, self.spec.demographics, self.fitted, self.cells, self.shape))
 
 
 class Purchases(Timeline):
