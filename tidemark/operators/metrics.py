@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.config import EPS
 from tidemark.functions.hashing import draw
@@ -187,14 +187,13 @@ def murphy(rows: DataFrame, by: Sequence[str], n_bins: int = 10) -> DataFrame:
     err = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
     cells = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("pk"), F.avg("y").alias("ok"),
                                            F.sum("y").alias("pos"), F.sum(err).alias("err"))
-    totals = cells.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum("err").alias("err"), F.sum("pos").alias("pos"),
-        F.sum(F.col("n") * (F.col("pk") - F.col("ok")) * (F.col("pk") - F.col("ok"))).alias("rel"),
-        F.sum(F.col("n") * F.col("ok") * F.col("ok")).alias("oo"))
-    base = F.col("pos") / F.col("n")
-    parts = totals.select(*by, (F.col("err") / F.col("n")).alias("brier"), (F.col("rel") / F.col("n")).alias("rel"),
-                          (F.col("oo") / F.col("n") - base * base).alias("res"),
-                          (base * (F.lit(1.0) - base)).alias("unc"))
+    # At most n_bins rows a group meet in this window.
+    group = W.partitionBy(*by)
+    based = cells.withColumn("base", F.sum("pos").over(group) / F.sum("n").over(group))
+    gap = lambda x, y: F.sum(F.col("n") * (F.col(x) - F.col(y)) * (F.col(x) - F.col(y))) / F.sum("n")
+    parts = based.groupBy(*by).agg(
+        (F.sum("err") / F.sum("n")).alias("brier"), gap("pk", "ok").alias("rel"), gap("ok", "base").alias("res"),
+        F.max(F.col("base") * (F.lit(1.0) - F.col("base"))).alias("unc"))
     return parts.select("*", (F.lit(1.0) - F.try_divide("brier", "unc")).alias("bss"),
                         F.when(F.col("res") > 0, F.try_divide("rel", "res")).alias("rel_over_res"))
 

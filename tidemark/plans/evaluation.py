@@ -323,9 +323,10 @@ def _murphy_sql(src: str) -> str:
 _MURPHY = ["brier", "rel", "res", "unc", "bss", "rel_over_res"]
 
 
-@query("V10_murphy_decomposition", wf(f"select model, {', '.join(_r(c) for c in _MURPHY)} from ({_murphy_sql('a_scores')})"))
+@query("V10_murphy_decomposition", wf(f"select model, {', '.join(_r(c, 2 if c == 'rel_over_res' else 6) for c in _MURPHY)} from ({_murphy_sql('a_scores')})"))
 def _(spark, folder):
-    return _tidy(M.murphy(Purchases(spark, folder).scores, ["model"]), *_MURPHY)
+    parts = M.murphy(Purchases(spark, folder).scores, ["model"])
+    return _tidy(parts, *_MURPHY[:-1]).withColumn("rel_over_res", tidy("rel_over_res", 2))
 
 
 @query("V11_calibration_ratio", wf(f"""

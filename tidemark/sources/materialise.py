@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 from pathlib import Path
@@ -40,15 +42,28 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def _newest_complete(spark: SparkSession, path: str) -> str | None:
+    """The latest committed copy below a fingerprint folder, if any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    copies = sorted((entry.getPath().getName() for entry in system.listStatus(folder)), reverse=True)
+    return next((f"{path}/{c}" for c in copies if is_complete(spark, f"{path}/{c}")), None)
+
+
 def materialise(spark: SparkSession, name: str, build: Callable[[], DataFrame], inputs: Sequence[str],
                 *configs, root: str | None = None, rebuild: bool = False) -> DataFrame:
     """The table ``name``: read back when its fingerprint is stored completely, else built and written.
 
-    The write's own commit makes a half-written table invisible, and the stored table is what
-    later stages restart from when executors are lost.
+    Every write goes to a folder of its own, whose commit marker makes it visible. Two jobs that
+    build the same table at once both succeed, nothing is renamed or overwritten, and the stored
+    table is what later stages restart from when executors are lost.
     """
     root = root or f"{checkpoint_dir(spark)}/tidemark"
     path = f"{root}/{name}/{fingerprint(spark, inputs, *configs)}"
-    if rebuild or not is_complete(spark, path):
-        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    found = None if rebuild else _newest_complete(spark, path)
+    if found is None:
+        found = f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        build().write.option("compression", "zstd").parquet(found)
+    return spark.read.parquet(found)
