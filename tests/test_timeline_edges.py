@@ -171,3 +171,23 @@ def test_stored_table_rebuilds_only_when_stale(spark, tmp_path):
 def test_config_tag_covers_every_field():
     assert config_tag(ExampleConfig()) != config_tag(ExampleConfig(max_extra=3))
     assert config_tag(ExampleConfig()) != config_tag(ExampleConfig(augment_splits=("train",)))
+
+
+def test_layout_spreads_a_hot_subject_in_order(spark):
+    rows = [(1 if i % 3 else 2 + i % 5, dt(2020, 1, 1) + timedelta(minutes=i * 7919 % 5000), 0, f"T{i % 4}") for i in range(3000)]
+    events = frame(spark, rows, "subject_id int, ts_seq timestamp_ntz, kind_rank int, token string")
+    out = TL.timeline_layout(events, 8).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in out if r.subject_id == 1}) > 1
+    for part in {r.part for r in out}:
+        mine = [(r.subject_id, r.ts_seq, r.kind_rank, r.token) for r in out if r.part == part]
+        assert mine == sorted(mine)
+
+
+def test_positions_match_a_full_sort(spark):
+    rows = [(1 if i % 3 else 2, dt(2020, 1, 1) + timedelta(hours=i * 37 % 200), i % 2, f"T{i % 4}") for i in range(600)]
+    events = frame(spark, rows, "subject_id int, ts_seq timestamp_ntz, kind_rank int, token string")
+    got = {(r.subject_id, r.ts_seq, r.kind_rank, r.token): r.position for r in TL.timeline_order(events).collect()}
+    for s in (1, 2):
+        ordered = sorted(r for r in rows if r[0] == s)
+        for key in set(ordered):
+            assert got[key] == ordered.index(key)
