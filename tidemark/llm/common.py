@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import checkpoint_dir
@@ -71,3 +73,33 @@ def by_size(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_BLOCK = 4096
+
+
+def vector_blocks(vector: np.ndarray) -> pa.RecordBatch:
+    """A task's partial vector as rows (block, part), for ``vector_sum``."""
+    flat = vector.ravel()
+    cuts = range(0, len(flat), _BLOCK)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(len(cuts)), pa.int32()), pa.array([flat[a:a + _BLOCK].tobytes() for a in cuts], pa.binary())], ["block", "part"])
+
+
+def vector_sum(parts: DataFrame, size: int, dtype) -> np.ndarray:
+    """The sum of all partial vectors of a fixed ``size``; executors add them block by block as they stream in."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = np.frombuffer(part, dtype)
+                sums[block] = sums[block] + v if block in sums else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                                         ["block", "part"])
+
+    total = np.zeros(size, dtype)
+    for row in parts.repartition("block").mapInArrow(run, "block int, part binary").collect():
+        v = np.frombuffer(row["part"], dtype)
+        total[row["block"] * _BLOCK:row["block"] * _BLOCK + len(v)] = v
+    return total

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import by_size, text_bytes
+from tidemark.llm.common import by_size, ship, text_bytes
 
 # A word is a run of bytes other than these; A-Z are lower-cased on the way.
 _SEPARATORS = {*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)}
@@ -152,6 +152,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, base=BASE_PHRASES, notic
     empty: no words, no places, empty label strings. Rows are independent, so repeated ones
     give repeated results. The index holds the templates only, never the corpus.
     """
+    ship(spark)
     templates = make_templates(base, notices)
     index = PositionalIndex(templates, document_frequencies(docs, {w for t in templates for w in t.words}), rare)
 

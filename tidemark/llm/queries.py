@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat_format import format_chats
 from tidemark.llm.common import scratch, table
+from tidemark.llm.decontamination import find_leaks
 from tidemark.llm.exact_dedup import DigestIndex
+from tidemark.llm.html_extraction import extract_pages
+from tidemark.llm.language_id import fit_language_model, held_out, identify
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix, sized
 from tidemark.llm.simhash_dedup import near_duplicates
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_store import read_tokens, write_tokens
 
 END_ID = 1
@@ -26,11 +30,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without strings of 200 bytes that occur elsewhere."""
+    return remove_repeats(spark, table(spark, folder, "documents"), length=200)
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Maximal logged conversations, rendered."""
     return format_chats(spark, table(spark, folder, "conversations"))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, folder, "pages"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose fingerprints differ in at most 2 bits."""
     return near_duplicates(spark, table(spark, folder, "documents"), width=3, distance=2, segments=2)
@@ -43,6 +62,14 @@ def op6_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = fit_language_model(docs)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What the mix takes of each document."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
@@ -59,8 +86,8 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(spark, table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op5_simhash_near_dedup, op6_token_output, op8_source_mixing,
-                                   op9_exact_dedup, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_chat_formatting, op4_html_extraction, op5_simhash_near_dedup,
+                                   op6_token_output, op7_language_id, op8_source_mixing, op9_exact_dedup, op10_license_scans)}
 
 SQL = {
     "op3_chat_formatting": r"""

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import LOWER_ASCII, by_size, stored, text_bytes
+from tidemark.llm.common import LOWER_ASCII, by_size, ship, stored, text_bytes
 
 BITS = 64
 HASH_SEED = 42  # seed of the shingle hash, fixed by the contract
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 fps = np.array([simhash(shingle_hashes(t, width)) for t in texts[a:b]], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(fps)], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
