@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.tdist import t_quantile_value, t_tail
+from tidemark.functions.scalars import normalise_reason
+from tidemark.functions.tdist import t_quantile, t_quantile_value, t_tail
+from tidemark.operators.models import select_recipe
+from tidemark.sources.tables import scan_splits, scan_targets
 from tidemark.operators import calibrate as CA, checks as CH, distributed as DI, effects as X, folds as FO, metrics as M
 from tidemark.sources import sinks
 
@@ -207,3 +210,45 @@ def test_export_refuses_incomplete_scores(spark, tmp_path):
     assert back.columns == ["subject_id", *CODES] and back.count() == 20
     with pytest.raises(ValueError, match="refused"):
         sinks.write_scores_csv(scores.filter("ordinal <> 4"), order, CODES, str(tmp_path / "bad"))
+
+
+def test_long_target_and_split_lists(spark):
+    codes = [f"c{i}" for i in range(10_001)]
+    targets = scan_targets(spark, codes)
+    assert targets.count() == 10_001 and targets.agg(F.max("position")).first()[0] == 10_000
+    raw = spark.createDataFrame([(i, f"s{i % 101}") for i in range(303)], "Id long, split string")
+    sizes = {f"s{i}": 3 for i in range(101)}
+    assert scan_splits(raw, sizes).count() == 303
+    with pytest.raises(ValueError, match="s100"):
+        scan_splits(raw, {**sizes, "s100": 4})
+
+
+def test_quantiles_beyond_sixty_degrees_of_freedom(spark):
+    df = spark.createDataFrame([(d,) for d in (1, 2, 30, 60, 61, 1000)], "df int")
+    got = {r["df"]: r["t"] for r in df.select("df", t_quantile(0.975, F.col("df")).alias("t")).collect()}
+    for d, t in got.items():
+        assert t == pytest.approx(t_quantile_value(0.975, d), rel=1e-9)
+    assert got[1000] == pytest.approx(1.9623, abs=1e-4)
+
+
+def test_tied_models_go_by_name_and_a_chosen_one_must_exist(spark):
+    rows = [("a", 0.45587600674263773), ("b", 0.4558760067426377)]
+    table = spark.createDataFrame(rows, "model string, macro_ap double")
+    assert select_recipe(table).first()["model"] == "b"
+    assert select_recipe(table, chosen="a").first()["model"] == "a"
+    with pytest.raises(ValueError):
+        select_recipe(table, chosen="c")
+
+
+def test_small_buckets_change_no_sum(spark, monkeypatch):
+    df = spark.createDataFrame([("g", float(i * 7 % 1000), 1) for i in range(1000)], "g string, v double, n int")
+    monkeypatch.setattr(DI.value_bucket, "__defaults__", (10,))
+    rows = DI.prefix_sums(df, ["g"], "v", ["n"]).collect()
+    assert all(r["n_before"] == int(r["v"]) for r in rows)
+
+
+def test_reason_codes_stay_exact(spark):
+    texts = ["16255561000119107", "16255561000119107.0", " 42. ", "4.5", "n/a", "1e5", None, "-7"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["c"] for r in df.orderBy("i").select(normalise_reason("t").alias("c")).collect()]
+    assert got == ["16255561000119107", "16255561000119107", "42", None, None, None, None, "-7"]

@@ -10,9 +10,6 @@ from dataclasses import asdict, dataclass
 EPS = 1e-6
 # Fixed value: days in a mean calendar year.
 YEAR_DAYS = 365.25
-# A declared target list or label set larger than this is refused, which bounds everything
-# that is broadcast or collected per target.
-MAX_TARGETS = 10_000
 
 
 @dataclass(frozen=True)

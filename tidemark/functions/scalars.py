@@ -14,8 +14,8 @@ ACUTE_WORDS = (
     "bronchitis", "pharyngitis", "sore throat",
 )
 ACUTE_EXCLUDED = "pathological"
-# The class words a condition name may carry in trailing brackets.
-CLASS_WORDS = ("disorder", "finding", "situation")
+# Fixed value: the class word a condition name may carry in brackets.
+CLASS_SUFFIX = r" \((disorder|finding|situation)\)"
 
 
 def _col(c) -> Column:
@@ -32,8 +32,8 @@ def numeric_value(value, value_type) -> Column:
 
 
 def normalise_reason(text) -> Column:
-    """Reason codes written as floats lose the fraction; text that is not a number is null."""
-    return _col(text).try_cast("double").try_cast("bigint").cast("string")
+    """Whole numbers as exact text, however long; a zero fraction is cut off, anything else is null."""
+    return F.nullif(F.regexp_extract(F.trim(_col(text).cast("string")), r"^([+-]?[0-9]+)(?:\.0*)?$", 1), F.lit(""))
 
 
 def first_cost(*costs) -> Column:
@@ -61,7 +61,7 @@ def sigmoid(z) -> Column:
 
 
 def clean_name(name) -> Column:
-    return F.regexp_replace(_col(name), r" \((" + "|".join(CLASS_WORDS) + r")\)", "")
+    return F.regexp_replace(_col(name), CLASS_SUFFIX, "")
 
 
 def is_acute(name) -> Column:

@@ -34,12 +34,6 @@ def t_quantile_value(p: float, df: int) -> float:
     return (lo + hi) / 2.0
 
 
-def t_quantile(p: float, df: Column, largest: int = 60) -> Column:
-    """Quantile for an integer column of degrees of freedom; beyond ``largest`` the table's last entry is used."""
-    table = F.array(*[F.lit(t_quantile_value(p, d)) for d in range(1, largest + 1)])
-    return F.element_at(table, F.least(df, F.lit(largest)).cast("int"))
-
-
 def t_tail(t: Column, df: Column) -> Column:
     """P(T > t) for an integer column of degrees of freedom."""
     theta = F.atan(t / F.sqrt(df.cast("double")))
@@ -58,3 +52,20 @@ def t_tail(t: Column, df: Column) -> Column:
     total = F.aggregate(steps, start, add)["total"]
     inside = F.when(odd, F.lit(2.0 / math.pi) * (theta + s * total)).otherwise(s * total)
     return (F.lit(1.0) - inside) / 2.0
+
+
+def t_quantile(p: float, df: Column) -> Column:
+    """Quantile for an integer column of degrees of freedom, however many, by bisection on ``t_tail``.
+
+    The search runs over the angle ``atan(t / sqrt(df))``, which is bounded for every quantile.
+    """
+    root = F.sqrt(df.cast("double"))
+    start = F.struct(F.lit(-math.pi / 2).alias("lo"), F.lit(math.pi / 2).alias("hi"))
+
+    def halve(acc, _):
+        mid = (acc["lo"] + acc["hi"]) / 2.0
+        below = t_tail(root * F.tan(mid), df) > F.lit(1.0 - p)
+        return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve)
+    return root * F.tan((found["lo"] + found["hi"]) / 2.0)

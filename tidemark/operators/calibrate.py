@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.config import EPS, MAX_TARGETS
+from tidemark.config import EPS
 from tidemark.functions.scalars import logit, sigmoid
 from tidemark.operators.metrics import label_metrics, macro
+from tidemark.sources.materialise import keep
 
 # Fixed value: inverse penalty on the slope.
 _C = 1e6
@@ -30,74 +31,65 @@ def fit_platt(rows: DataFrame, min_pos: int = 5, allow_negative: bool = True, ma
               tol: float = 1e-9) -> DataFrame:
     """(code, a, b, ok) of ``sigmoid(a * logit(p) + b)`` by safeguarded Newton steps.
 
-    Scores collapse to distinct points once; each step is one aggregate that returns six
-    sums per code, so what reaches the driver is bounded by the declared number of targets.
-    Codes with too few positives or negatives, or with a slope of the unwanted sign, get
-    a = 1, b = 0, ok = false and pass through.
+    Scores collapse to distinct points once. The search of every code is a row of a table; a step is one
+    aggregate over the points and one join, stored before the next, and only whether any code
+    still moves reaches the driver. Codes with too few positives or negatives, or with a slope of
+    the unwanted sign, get a = 1, b = 0, ok = false and pass through.
     """
-    spark = rows.sparkSession
-    codes = [r["code"] for r in rows.select("code").distinct().limit(MAX_TARGETS + 1).collect()]
-    if len(codes) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} codes")
-    points = platt_points(rows, min_pos).persist()
-    try:
-        searches = {r["code"]: _Search() for r in points.select("code").distinct().collect()}
-        for _ in range(max_steps):
-            trial = {c: s.trial for c, s in searches.items() if s.moved > tol}
-            if not trial:
-                break
-            for code, sums in _sums(spark, points, trial).items():
-                searches[code].visit(sums)
-    finally:
-        points.unpersist()
-    params = {c: s.best for c, s in searches.items()}
-    out = []
-    for code in sorted(codes):
-        a, b = params.get(code, (1.0, 0.0))
-        ok = code in params and math.isfinite(a) and math.isfinite(b) and (allow_negative or a > 0)
-        out.append((code, a, b, True) if ok else (code, 1.0, 0.0, False))
-    return spark.createDataFrame(out, "code string, a double, b double, ok boolean")
-
-
-class _Search:
-    """Newton's method on one code's two parameters; a step that raises the loss is halved."""
-
-    def __init__(self):
-        self.trial = self.best = (1.0, 0.0)
-        self.loss, self.step, self.moved = math.inf, (0.0, 0.0), math.inf
-
-    def visit(self, sums) -> None:
-        a, b = self.trial
-        loss = sums["loss"] + a * a / (2.0 * _C)
-        if loss <= self.loss + 1e-12 * abs(self.loss if math.isfinite(self.loss) else 0.0):
-            self.best, self.loss = self.trial, loss
-            ga, haa = sums["rx"] + a / _C, sums["hxx"] + 1.0 / _C
-            det = haa * sums["h"] - sums["hx"] * sums["hx"]
-            if math.isfinite(det) and det > 0.0:
-                self.step = ((sums["h"] * ga - sums["hx"] * sums["r"]) / det, (haa * sums["r"] - sums["hx"] * ga) / det)
-            else:
-                self.step = (ga, sums["r"])
-        else:
-            self.step = (self.step[0] / 2.0, self.step[1] / 2.0)
-        self.moved = max(abs(self.step[0]), abs(self.step[1]))
-        if not math.isfinite(self.moved):
-            self.step, self.moved = (0.0, 0.0), 0.0
-        self.trial = (self.best[0] - self.step[0], self.best[1] - self.step[1])
-
-
-def _sums(spark, points: DataFrame, trial: dict) -> dict:
-    """Loss, gradient and curvature sums of every code at its trial parameters, from one aggregate."""
-    table = spark.createDataFrame([(c, a, b) for c, (a, b) in trial.items()], "code string, a double, b double")
+    points = keep(platt_points(rows, min_pos), "platt_points")
+    zero, far = F.lit(0.0), F.lit(math.inf)
+    state = points.select("code").distinct().select(
+        "code", F.lit(1.0).alias("a"), zero.alias("b"), F.lit(1.0).alias("best_a"), zero.alias("best_b"), far.alias("loss"),
+        zero.alias("step_a"), zero.alias("step_b"), far.alias("moved"))
+    for _ in range(max_steps):
+        state = keep(_advance(points, state, tol), "platt_state")
+        if not state.filter(F.col("moved") > tol).take(1):
+            break
+    finite = lambda c: F.abs(F.col(c)) < math.inf
+    fitted = state.select("code", "best_a", "best_b", (
+        finite("best_a") & finite("best_b") & (F.lit(allow_negative) | (F.col("best_a") > 0))).alias("fine"))
+    ok = F.coalesce("fine", F.lit(False))
+    return rows.select("code").distinct().join(fitted, "code", "left").select(
+        "code", F.when(ok, F.col("best_a")).otherwise(F.lit(1.0)).alias("a"),
+        F.when(ok, F.col("best_b")).otherwise(zero).alias("b"), ok.alias("ok"))
+
+
+def _advance(points: DataFrame, state: DataFrame, tol: float) -> DataFrame:
+    """One Newton step on the two parameters of every code that still moves; a step that raised the loss is halved."""
+    moving = state.filter(F.col("moved") > tol)
+    seen = moving.join(_sums(points, moving), "code")
+    a, best = F.col("a"), F.col("loss")
+    loss = F.col("s.loss") + a * a / (2.0 * _C)
+    better = loss <= best + F.when(best < math.inf, 1e-12 * F.abs(best)).otherwise(F.lit(0.0))
+    ga, haa = F.col("s.rx") + a / _C, F.col("s.hxx") + 1.0 / _C
+    det = haa * F.col("s.h") - F.col("s.hx") * F.col("s.hx")
+    solvable = (det > 0.0) & (det < math.inf)
+    newton = (F.when(solvable, F.try_divide(F.col("s.h") * ga - F.col("s.hx") * F.col("s.r"), det)).otherwise(ga),
+              F.when(solvable, F.try_divide(haa * F.col("s.r") - F.col("s.hx") * ga, det)).otherwise(F.col("s.r")))
+    pick = lambda yes, no: F.when(better, yes).otherwise(no)
+    out = seen.select("code", pick(a, F.col("best_a")).alias("best_a"), pick(F.col("b"), F.col("best_b")).alias("best_b"),
+                      pick(loss, best).alias("loss"), pick(newton[0], F.col("step_a") / 2.0).alias("_sa"),
+                      pick(newton[1], F.col("step_b") / 2.0).alias("_sb"))
+    size = F.greatest(F.abs("_sa"), F.abs("_sb"))
+    still = size < math.inf  # false for infinite and undefined steps, which end the search
+    step = lambda c: F.when(still, F.col(c)).otherwise(F.lit(0.0))
+    out = out.select("code", (F.col("best_a") - step("_sa")).alias("a"), (F.col("best_b") - step("_sb")).alias("b"), "best_a", "best_b", "loss",
+                     step("_sa").alias("step_a"), step("_sb").alias("step_b"), F.when(still, size).otherwise(F.lit(0.0)).alias("moved"))
+    return out.unionByName(state.filter(F.col("moved") <= tol))
+
+
+def _sums(points: DataFrame, trial: DataFrame) -> DataFrame:
+    """(code, s): loss, gradient and curvature sums of every code at its trial parameters."""
     z = F.col("a") * F.col("x") + F.col("b")
-    joined = points.join(table, "code").withColumn("z", z).withColumn("q", sigmoid("z"))
+    joined = points.join(trial.select("code", "a", "b"), "code").withColumn("z", z).withColumn("q", sigmoid("z"))
     # log(1 + exp(z)) without overflow on either side.
     soft = F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("z")))
     r, h = F.col("w") * F.col("q") - F.col("t"), F.col("w") * F.col("q") * (F.lit(1.0) - F.col("q"))
     x = F.col("x")
-    out = joined.groupBy("code").agg(
+    return joined.groupBy("code").agg(
         F.sum(F.col("w") * soft - F.col("t") * F.col("z")).alias("loss"), F.sum(r).alias("r"), F.sum(r * x).alias("rx"),
-        F.sum(h).alias("h"), F.sum(h * x).alias("hx"), F.sum(h * x * x).alias("hxx"))
-    return {row["code"]: row for row in out.collect()}
+        F.sum(h).alias("h"), F.sum(h * x).alias("hx"), F.sum(h * x * x).alias("hxx")).select(
+        "code", F.struct("loss", "r", "rx", "h", "hx", "hxx").alias("s"))
 
 
 def apply_platt(rows: DataFrame, params: DataFrame, floor: float = EPS) -> DataFrame:

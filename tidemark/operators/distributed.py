@@ -15,9 +15,10 @@ from tidemark.functions.hashing import digest
 
 # Hash buckets per group: four hex digits, so at most 65,536 bucket totals a group.
 HASH_DIGITS = 4
-# Value buckets per group of a prefix sum.
-VALUE_BUCKETS = 64
-_SKETCH_ACCURACY = 2_000
+# Distinct rows a value bucket of a prefix sum should hold, and the finest cut of a group.
+ROWS_PER_BUCKET = 100_000
+FINEST_CUT = 2_048
+_SKETCH_ACCURACY = 4 * FINEST_CUT
 
 
 def _over(by: Sequence[str]):
@@ -56,14 +57,18 @@ def hash_rank(df: DataFrame, key: str, seed, within: Sequence[str] = (), out: st
     return ranked.withColumn(out, (F.col("_offset") + inside - 1).cast("bigint")).drop("_hash", "_bucket", "_offset")
 
 
-def value_bucket(df: DataFrame, by: Sequence[str], order: str, buckets: int = VALUE_BUCKETS) -> DataFrame:
+def value_bucket(df: DataFrame, by: Sequence[str], order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``_bucket``: equal-depth over the distinct rows, monotone in ``order``.
 
-    The cut points come from a mergeable quantile sketch. They only balance the work; the
-    results built on the buckets are exact whatever the cut points are.
+    A group gets as many buckets as its rows call for. The cut points come from a mergeable quantile
+    sketch, of which a small group takes every so many. They only balance the work; the results
+    built on the buckets are exact whatever the cut points are.
     """
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, grid, _SKETCH_ACCURACY).alias("_cuts"))
+    grid = F.array(*[F.lit(i / FINEST_CUT) for i in range(1, FINEST_CUT)])
+    stride = F.greatest(F.lit(1), F.floor(F.lit(float(FINEST_CUT) * rows_per_bucket) / F.col("_n"))).cast("int")
+    cuts = (df.groupBy(*by).agg(F.percentile_approx(order, grid, _SKETCH_ACCURACY).alias("_grid"), F.count(order).alias("_n"))
+            .withColumn("_stride", stride))
+    cuts = cuts.select(*by, F.array_distinct(F.filter("_grid", lambda c, i: (i + 1) % F.col("_stride") == 0)).alias("_cuts"))
     joined = df.join(cuts, list(by))
     position = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return joined.withColumn("_bucket", position).drop("_cuts")

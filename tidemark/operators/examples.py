@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import ExampleConfig
 from tidemark.functions.time import midnight, span_of
-from tidemark.operators.distributed import beside
+from tidemark.operators.distributed import beside, hash_rank
 from tidemark.operators.segments import boundaries, place_cutoffs
 
 
@@ -59,6 +59,18 @@ def build_examples(cohort: DataFrame, events: DataFrame, cfg: ExampleConfig) ->
     return real.unionByName(extra)
 
 
+def example_key(examples: DataFrame, seed: int = 0) -> DataFrame:
+    """Add ``eid``: 0, 1, 2, ... over all examples, real ones first.
+
+    Inside a block the order is the md5 permutation of (subject, cutoff), so no block is sorted by one task.
+    """
+    named = examples.withColumn("_key", F.concat_ws("|", "subject_id", F.col("cutoff").cast("string")))
+    ranked = hash_rank(named, "_key", seed, ["is_real"], "_rank")
+    real = ranked.agg(F.coalesce(F.max(F.when(F.col("is_real"), F.col("_rank_n"))), F.lit(0)).alias("_real"))
+    eid = F.col("_rank") + F.when(F.col("is_real"), F.lit(0)).otherwise(F.col("_real"))
+    return beside(ranked, real).withColumn("eid", eid.cast("bigint")).drop("_key", "_rank", "_rank_n", "_real")
+
+
 def example_invariants(examples: DataFrame, cohort: DataFrame, cfg: ExampleConfig) -> DataFrame:
     """Violation counts; ``n_synthetic`` shows the check is not empty."""
     joined = examples.join(cohort.select("subject_id", "anchor"), "subject_id")

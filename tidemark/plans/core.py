@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidemark.config import Span
+from tidemark.config import FeatureConfig, Span
 from tidemark.functions import scalars as S, time as TM
 from tidemark.functions.scalars import as_day, tidy
 from tidemark.operators import diagnostics as D, examples as E, labels as L, timeline as TL
 from tidemark.plans.catalog import draw_sql, fragment, query, with_fragments as wf
+from tidemark.session import checkpoint_dir
 from tidemark.sources.demo import Activity, Driver, Purchases
-from tidemark.sources.tables import scan_event_table, scan_subjects, scan_text_answers
+from tidemark.sources.materialise import materialise
+from tidemark.sources.tables import (
+    EVENT_TABLES, read_targets, scan_anchors, scan_event_table, scan_splits, scan_subjects, scan_text_answers, split_differences)
 
 SPLIT_SQL = ("case {h} % 10 when 0 then 'test' when 1 then 'val' else 'train' end"
              .format(h=draw_sql("'split'", "subject_id")))
@@ -140,6 +145,67 @@ def _(spark, folder):
     return Activity(spark, folder).answers.withColumn("ts", F.col("ts").cast("string"))
 
 
+@query("S2_table_registry", """
+    select 'OBS' kind, 'OBS_' || event_type token, count(*) n, round(sum(value), 4) + 0.0 total, 0.0::double cost from events group by event_type
+    union all select 'ENC', 'ENC_' || o_orderstatus, count(*), 0.0, round(sum(o_totalprice), 4) + 0.0 from orders group by o_orderstatus""")
+def _(spark, folder):
+    """Two of the declared tables, filled from events and orders under their declared column names."""
+    d = Driver(spark, folder)
+    seen = d.table("events").select(F.col("user_id").alias("PATIENT"), F.col("ts").alias("DATE"), F.col("event_type").alias("CODE"),
+                                    F.col("value").cast("string").alias("VALUE"), F.lit("numeric").alias("TYPE"))
+    met = d.table("orders").select(F.col("o_custkey").alias("PATIENT"), F.col("o_orderdate").alias("START"), F.col("o_orderdate").alias("STOP"),
+                                   F.col("o_orderstatus").alias("CODE"), F.lit("1.0").alias("REASONCODE"),
+                                   F.col("o_totalprice").alias("TOTAL_CLAIM_COST"))
+    both = scan_event_table(seen, EVENT_TABLES["observations"]).unionByName(scan_event_table(met, EVENT_TABLES["encounters"]))
+    total = lambda c: tidy(F.coalesce(F.sum(c), F.lit(0.0)), 4)
+    return both.groupBy("kind", "token").agg(F.count("*").alias("n"), total("value").alias("total"), total("cost").alias("cost"))
+
+
+@query("S4_scan_splits", """
+    select 's100' split, count(*) n, count(*) + 1 expected from customer where c_custkey % 101 = 100
+    union all select 'unseen', null, 3""")
+def _(spark, folder):
+    """A list of 101 splits passes with its own sizes; of sizes that are wrong in two places those two are reported."""
+    raw = Driver(spark, folder).table("customer").select(
+        F.col("c_custkey").alias("Id"), F.concat(F.lit("s"), (F.col("c_custkey") % 101).cast("string")).alias("split"))
+    sizes = {r["split"]: r["count"] for r in raw.groupBy("split").count().collect()}  # 101 rows at most
+    splits = scan_splits(raw, sizes)
+    return split_differences(splits, {**sizes, "s100": sizes["s100"] + 1, "unseen": 3})
+
+
+@query("S5_read_targets", """
+    select (row_number() over (order by p_partkey) - 1)::int as position, p_partkey::varchar code, p_brand description from part""")
+def _(spark, folder):
+    """Every part as a target code, written to one CSV file in key order and read in file order."""
+    path = f"{checkpoint_dir(spark)}/tidemark/targets-{uuid.uuid4().hex}"
+    part = Driver(spark, folder).table("part").select(F.col("p_partkey").alias("CODE"), F.col("p_brand").alias("DESCRIPTION"))
+    part.coalesce(1).sortWithinPartitions("CODE").write.option("header", True).csv(path)
+    return read_targets(spark, path)
+
+
+@query("S6_scan_provided_anchors", """
+    select o_custkey subject_id, cast(max(o_orderdate) as varchar) given_anchor from orders group by 1""")
+def _(spark, folder):
+    orders = Driver(spark, folder).table("orders")
+    raw = orders.groupBy(F.col("o_custkey").alias("Id")).agg(F.max("o_orderdate").cast("string").alias("anchor_date"))
+    return scan_anchors(raw).withColumn("given_anchor", F.col("given_anchor").cast("string"))
+
+
+@query("S10_config_tag", wf("""
+    select 'one' config, count(*) n from b_raw where kind = 'click' union all
+    select 'two', count(*) from b_raw where kind in ('click', 'view') union all
+    select 'one again', count(*) from b_raw where kind = 'click'"""))
+def _(spark, folder):
+    """One stored name under two configurations: each finds its own table, and an equal one finds it again."""
+    raw = Activity(spark, folder).raw
+    out = []
+    for label, kinds in (("one", ("click",)), ("two", ("click", "view")), ("one again", ("click",))):
+        build = lambda kinds=kinds: raw.filter(F.col("event_type").isin(*kinds)).select("user_id", "event_type")
+        table = materialise(spark, "query_tagged", build, [f"{folder}/events.parquet"], FeatureConfig(kinds=kinds))
+        out.append(table.agg(F.lit(label).alias("config"), F.count("*").alias("n")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---------------------------------------------------------------- scalar derivations
 
 
@@ -181,10 +247,17 @@ def _(spark, folder):
 
 
 @query("P4_normalise_reason_code", wf("""
-    select case when kind <> 'click' then (k // 10)::varchar end reason, count(*) n from b_raw group by 1"""))
+    select case k % 6 when 0 then '16255561000119' || lpad(k::varchar, 3, '0') when 1 then '16255561000119' || lpad(k::varchar, 3, '0')
+           when 2 then '962855561000119' || lpad(k::varchar, 3, '0') when 3 then k::varchar end reason, count(*) n from b_raw group by 1"""))
 def _(spark, folder):
-    raw = Activity(spark, folder).raw
-    return raw.groupBy(S.normalise_reason("reason").alias("reason")).agg(F.count("*").alias("n"))
+    """Codes of up to 18 digits with and without a zero fraction, and fractions and text, which are no codes."""
+    raw = Activity(spark, folder).driver.table("events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    padded = F.lpad(k.cast("string"), 3, "0")
+    text = (F.when(k % 6 == 0, F.concat(F.lit("16255561000119"), padded)).when(k % 6 == 1, F.concat(F.lit("16255561000119"), padded, F.lit(".0")))
+            .when(k % 6 == 2, F.concat(F.lit(" 962855561000119"), padded, F.lit(".00"))).when(k % 6 == 3, F.concat(k.cast("string"), F.lit(".")))
+            .when(k % 6 == 4, F.concat(k.cast("string"), F.lit(".5"))).otherwise(F.lit("n/a")))
+    return raw.groupBy(S.normalise_reason(text).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("P5_first_available_cost", """
@@ -209,6 +282,14 @@ def _(spark, folder):
         F.count_if("is_pre_anchor").alias("n_before"), F.count_if(~F.col("is_pre_anchor")).alias("n_after"))
 
 
+@query("P7_kind_order", """
+    select event_type kind, case event_type when 'purchase' then 0 when 'view' then 1 else 2 end rank, count(*) n from events group by all""")
+def _(spark, folder):
+    """Kinds in a declared order; those that are not declared come last."""
+    events = Driver(spark, folder).table("events")
+    return events.groupBy(F.col("event_type").alias("kind"), S.kind_rank("event_type", ("purchase", "view")).alias("rank")).agg(F.count("*").alias("n"))
+
+
 @query("P8_age_at", wf("""
     select subject_id, cast(cutoff as date)::varchar cutoff, round(age_at_anchor, 6) + 0.0 age_at_anchor,
            round(date_diff('microsecond', birthdate, cutoff) / 8.64e10 / 365.25, 6) + 0.0 age
@@ -375,6 +456,16 @@ def _(spark, folder):
     return _days(Activity(spark, folder).rolling)
 
 
+@query("E4_example_key", wf("""
+    select subject_id, cast(cutoff as date)::varchar cutoff, is_real::int is_real,
+           row_number() over (partition by is_real order by md5('0,' || key), key) - 1
+             + case when is_real then 0 else (select count(*) from a_examples) end eid
+    from (select *, subject_id || '|' || cast(cutoff as varchar) as key from a_rolling)"""))
+def _(spark, folder):
+    keyed = E.example_key(Purchases(spark, folder).rolling)
+    return keyed.select("subject_id", as_day("cutoff").alias("cutoff"), F.col("is_real").cast("int").alias("is_real"), "eid")
+
+
 @query("E5_example_invariants", wf("""
     select count(*) filter (is_real and cutoff <> anchor) real_off_anchor,
            count(*) filter (not is_real and cutoff >= anchor) synthetic_not_earlier,

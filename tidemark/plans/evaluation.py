@@ -114,20 +114,32 @@ fragment("a_brand_counts", """
     where kind = 'ITEM' group by all""")
 fragment("a_recency", "select subject_id, min(age) recency from a_real_pre group by 1")
 fragment("a_score_base", """
-    select l.*, coalesce(fold, -1) fold, coalesce(n_ever, 0) n_ever, coalesce(n_365, 0) n_365,
-           coalesce(recency, 3650.0) / 365.25 yrs
-    from a_labels l left join a_brand_counts using (subject_id, code) left join a_recency using (subject_id)
+    select l.*, coalesce(fold, -1) fold, coalesce(c.n_ever, 0) n_ever, coalesce(c.n_365, 0) n_365,
+           coalesce(x.n_ever, 0) near_a, coalesce(y.n_ever, 0) near_b, coalesce(recency, 3650.0) / 365.25 yrs
+    from a_labels l left join a_brand_counts c using (subject_id, code) left join a_recency using (subject_id)
+    left join a_brand_counts x on x.subject_id = l.subject_id and x.code = 'Brand#' || (l.code[7:]::int % 25 + 1)
+    left join a_brand_counts y on y.subject_id = l.subject_id and y.code = 'Brand#' || ((l.code[7:]::int + 2) % 25 + 1)
     left join a_folds using (subject_id)""")
 fragment("a_scores", """
     select subject_id, split, code, y, prevalent, at_risk, fold, 'a' model,
-           round(1 / (1 + exp(-(-2.0 + 0.3 * n_ever - 0.1 * yrs))), 6) p from a_score_base
+           round(1 / (1 + exp(-(-2.0 + 0.3 * n_ever + 0.2 * near_a - 0.1 * yrs))), 6) p from a_score_base
     union all select subject_id, split, code, y, prevalent, at_risk, fold, 'b',
-           round(1 / (1 + exp(-(-2.0 + 0.3 * n_365 - 0.1 * yrs))), 6) p from a_score_base""")
+           round(1 / (1 + exp(-(-2.0 + 0.3 * n_365 + 0.2 * near_b - 0.1 * yrs))), 6) p from a_score_base""")
 fragment("d_scores", """
     select lang code, 'n_chars' model, doc_id subject_id, toxic y, 1 at_risk, n_chars / (n_chars + 1000.0::double) p
     from labels join documents using (doc_id)""")
 
 
+@query("V0_score_fixture", wf("""
+    select split, count(*) pairs, count(*) filter (a.p <> b.p) differing from a_scores a join a_scores b using (subject_id, split, code)
+    where a.model = 'a' and b.model = 'b' and a.at_risk = 1 group by split"""))
+def _(spark, folder):
+    """At-risk pairs on which the two models differ; comparisons of models mean something only if these are many."""
+    rows = Purchases(spark, folder).scores.filter("at_risk = 1").groupBy("subject_id", "split", "code").agg(
+        F.countDistinct("p").alias("n"))
+    return rows.groupBy("split").agg(F.count("*").alias("pairs"), F.count_if(F.col("n") > 1).alias("differing"))
+
+
 def metrics_sql(src: str, by: str, p: str = "p", w: str = "1") -> str:
     """Per group of ``by``: n_pos, n_neg, auroc, ap over the rows of ``src``."""
     return f"""
@@ -495,10 +507,13 @@ def _(spark, folder):
 
 @query("M11_select_recipe", wf(f"""
     select population, arg_max(model, (macro_ap, model)) model, {_r('max(macro_ap)', alias='macro_ap')}
-    from (select model, population, avg(ap) macro_ap from a_label_metrics group by all) group by population"""))
+    from (select model, population, round(avg(ap), 12) macro_ap from a_label_metrics group by all) group by population
+    union all select population || '/chosen', 'a', {_r('avg(ap)', alias='macro_ap')} from a_label_metrics where model = 'a' group by population"""))
 def _(spark, folder):
+    """The best model of each population, and the one that was chosen beforehand."""
     table = M.macro(_population_metrics(spark, folder), ["model", "population"])
-    return _tidy(MO.select_recipe(table, ["population"]), "macro_ap")
+    chosen = MO.select_recipe(table, ["population"], chosen="a").withColumn("population", F.concat("population", F.lit("/chosen")))
+    return _tidy(MO.select_recipe(table, ["population"]).unionByName(chosen), "macro_ap")
 
 
 @query("M13_oof_uniqueness", wf("""

@@ -149,6 +149,15 @@ def _(spark, folder):
     return ST.fit_vocabulary(b.events, b.scope, replace(b.feature_cfg, min_subjects=80))
 
 
+@query("P10_kind_filter", wf("""
+    select token, count(distinct subject_id) n_subjects from b_scope_events where kind in ('click', 'error') group by 1
+    having count(distinct subject_id) >= 5"""))
+def _(spark, folder):
+    """A vocabulary of two kinds only."""
+    b = Activity(spark, folder)
+    return ST.fit_vocabulary(b.events, b.scope, replace(b.feature_cfg, min_subjects=5, kinds=("click", "error")))
+
+
 @query("F2_fit_value_edges", wf("""
     select token, n, array_to_string(list_transform(edges, lambda x: round(x * 10000)::bigint), ' ') edges from b_edges
     union all select token, n, array_to_string(list_transform(edges, lambda x: round(x * 10000)::bigint), ' ') from a_edges"""))

@@ -16,7 +16,7 @@ from tidemark.functions.scalars import sigmoid
 from tidemark.functions.time import span_of
 from tidemark.operators import examples as E, features as FE, folds as FO, labels as L, sequences as SQ, stats as ST, timeline as TL
 from tidemark.session import configure
-from tidemark.sources.materialise import materialise
+from tidemark.sources.materialise import fingerprint, materialise
 from tidemark.sources.tables import scan_event_table, scan_targets, scan_text_answers
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -52,6 +52,7 @@ class Timeline:
     inputs: tuple[str, ...]
     # Where stored tables live; by default below the shared checkpoint folder.
     root: str | None = None
+    mark: str | None = None
 
     def __init__(self, spark: SparkSession, folder: str):
         self.driver = Driver(spark, folder)
@@ -60,7 +61,9 @@ class Timeline:
         """One of the few tables every later stage reads, written once per input state."""
         paths = [f"{self.driver.folder}/{t}.parquet" for t in self.inputs]
         configs = (self.spec, self.example_cfg, self.feature_cfg, self.sequence_cfg)
-        return materialise(self.driver.spark, f"{self.name}_{part}", build, paths, *configs, root=self.root)
+        if self.mark is None:  # the input files are listed once for all parts
+            self.mark = fingerprint(self.driver.spark, paths, *configs)
+        return materialise(self.driver.spark, f"{self.name}_{part}", build, paths, *configs, root=self.root, mark=self.mark)
 
     @cached_property
     def splits(self) -> DataFrame:
@@ -240,8 +243,9 @@ class Purchases(Timeline):
     def scores(self) -> DataFrame:
         """Two deterministic models over all (subject, brand) pairs, with labels and folds.
 
-        Model a scores by all earlier purchases of the brand, model b by those of the last year;
-        both fall with the time since the last event. Subjects outside the folds have fold -1.
+        Model a scores by all earlier purchases of the brand, model b by those of the last year; each
+        also looks at another brand, so that they differ for brands never bought, and both fall
+        with the time since the last event. Subjects outside the folds have fold -1.
         """
         return self.stored("scores", self._scores)
 
@@ -251,13 +255,18 @@ class Purchases(Timeline):
         mine = counts.filter(F.col("token").startswith("ITEM_")).select(
             "subject_id", F.substring_index("token", "_", -1).alias("code"), "n_365d", "n_ever")
         last = cells.groupBy("subject_id").agg(F.max("last_ts").alias("last"))
+        number = F.substring_index("code", "#", -1).cast("int")
+        beside = lambda step, name: mine.select(  # noqa: E731  (counts of a brand, under the brand ``step`` before it)
+            "subject_id", F.concat(F.lit("Brand#"), (F.pmod(number - 1 - step, F.lit(25)) + 1).cast("string")).alias("code"), F.col("n_ever").alias(name))
         pairs = (self.labels.select("subject_id", "cutoff", "split", "code", "y", "prevalent", "at_risk")
                  .join(mine, ["subject_id", "code"], "left").join(last, "subject_id", "left")
+                 .join(beside(1, "near_a"), ["subject_id", "code"], "left").join(beside(3, "near_b"), ["subject_id", "code"], "left")
                  .join(self.folds, "subject_id", "left"))
         years = F.coalesce(FE.days_between(F.col("last"), F.col("cutoff")), F.lit(3650.0)) / 365.25
-        score = lambda n: F.round(sigmoid(F.lit(-2.0) + 0.3 * F.coalesce(F.col(n), F.lit(0)) - 0.1 * years), 6)
-        models = F.explode(F.array(F.struct(F.lit("a").alias("model"), score("n_ever").alias("p")),
-                                   F.struct(F.lit("b").alias("model"), score("n_365d").alias("p"))))
+        count = lambda n: F.coalesce(F.col(n), F.lit(0))
+        score = lambda n, near: F.round(sigmoid(F.lit(-2.0) + 0.3 * count(n) + 0.2 * count(near) - 0.1 * years), 6)
+        models = F.explode(F.array(F.struct(F.lit("a").alias("model"), score("n_ever", "near_a").alias("p")),
+                                   F.struct(F.lit("b").alias("model"), score("n_365d", "near_b").alias("p"))))
         return pairs.select("subject_id", "split", "code", "y", "prevalent", "at_risk",
                             F.coalesce("fold", F.lit(-1)).alias("fold"), models.alias("m")).select(
             "*", "m.model", "m.p").drop("m")

@@ -52,16 +52,24 @@ def _newest_complete(spark: SparkSession, path: str) -> str | None:
     return next((f"{path}/{c}" for c in copies if is_complete(spark, f"{path}/{c}")), None)
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(spark: SparkSession, name: str, build: Callable[[], DataFrame], inputs: Sequence[str],
-                *configs, root: str | None = None, rebuild: bool = False) -> DataFrame:
+                *configs, root: str | None = None, rebuild: bool = False, mark: str | None = None) -> DataFrame:
     """The table ``name``: read back when its fingerprint is stored completely, else built and written.
 
     Every write goes to a folder of its own, whose commit marker makes it visible. Two jobs that
     build the same table at once both succeed, nothing is renamed or overwritten, and the stored
-    table is what later stages restart from when executors are lost.
+    table is what later stages restart from when executors are lost. ``mark`` is the fingerprint,
+    where the caller has it already.
     """
     root = root or f"{checkpoint_dir(spark)}/tidemark"
-    path = f"{root}/{name}/{fingerprint(spark, inputs, *configs)}"
+    path = f"{root}/{name}/{mark or fingerprint(spark, inputs, *configs)}"
     found = None if rebuild else _newest_complete(spark, path)
     if found is None:
         found = f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"

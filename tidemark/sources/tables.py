@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tidemark.config import MAX_TARGETS, TableSpec
+from tidemark.config import TableSpec
 from tidemark.functions import scalars as S
 from tidemark.functions.time import to_ts
 
@@ -101,32 +101,46 @@ def scan_subjects(raw: DataFrame, allowed: Sequence[str] = ALLOWED_SUBJECT_COLUM
 
 def scan_splits(raw: DataFrame, expected: dict[str, int] | None = None,
                 subject: str = "Id", split: str = "split") -> DataFrame:
-    """Subject to split; sizes are checked when given (an action on three-row counts)."""
+    """Subject to split; sizes are checked when given, by a join of the counts (an action)."""
     out = raw.select(F.col(subject).alias("subject_id"), F.col(split).alias("split"))
     if expected is not None:
-        found = {r["split"]: r["n"] for r in out.groupBy("split").agg(F.count("*").alias("n")).limit(100).collect()}
-        if found != expected:
-            raise ValueError(f"split sizes {found}, expected {expected}")
+        wrong = split_differences(out, expected).orderBy("split").take(5)
+        if wrong:
+            raise ValueError(f"split sizes differ: {[tuple(r) for r in wrong]}")
     return out
 
 
+def split_differences(splits: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(split, n, expected) of every split whose size is not the expected one."""
+    wanted = splits.sparkSession.createDataFrame(list(expected.items()), "split string, expected bigint")
+    sizes = splits.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    both = sizes.join(wanted, sizes["split"].eqNullSafe(wanted["split"]), "full").select(
+        F.coalesce(sizes["split"], wanted["split"]).alias("split"), "n", "expected")
+    return both.filter(~F.col("n").eqNullSafe(F.col("expected")))
+
+
 def scan_targets(spark: SparkSession, codes: Sequence[str], descriptions: Sequence[str] | None = None) -> DataFrame:
-    """The declared target codes, unique, in order. A declared list, so bounded by ``MAX_TARGETS``."""
+    """The declared target codes, unique, in order."""
     codes = [str(c) for c in codes]
     if len(set(codes)) != len(codes):
         raise ValueError("target codes repeat")
-    if not 0 < len(codes) <= MAX_TARGETS:
-        raise ValueError(f"{len(codes)} target codes; between 1 and {MAX_TARGETS} are supported")
+    if not codes:
+        raise ValueError("no target codes")
     texts = list(descriptions) if descriptions else [None] * len(codes)
     rows = [(i, c, t) for i, (c, t) in enumerate(zip(codes, texts, strict=True))]
     return spark.createDataFrame(rows, "position int, code string, description string")
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """Targets from a CSV file (CODE, DESCRIPTION), codes as text in file order."""
-    rows = (read_text_table(spark, path, ["CODE", "DESCRIPTION"])
-            .coalesce(1).limit(MAX_TARGETS + 1).collect())
-    return scan_targets(spark, [r["CODE"] for r in rows], [r["DESCRIPTION"] for r in rows])
+    """Targets from a CSV file (CODE, DESCRIPTION), codes as text in file order; they stay a table."""
+    rows = read_text_table(spark, path, ["CODE", "DESCRIPTION"]).withColumn("_at", F.monotonically_increasing_id())
+    out = rows.select((F.row_number().over(W.orderBy("_at")) - 1).alias("position"), F.col("CODE").alias("code"),
+                      F.col("DESCRIPTION").alias("description"))
+    if not out.take(1):
+        raise ValueError("no target codes")
+    if out.groupBy("code").count().filter("count > 1").take(1):
+        raise ValueError("target codes repeat")
+    return out
 
 
 def scan_anchors(raw: DataFrame, subject: str = "Id", anchor: str = "anchor_date") -> DataFrame:
