@@ -191,3 +191,11 @@ def test_positions_match_a_full_sort(spark):
         ordered = sorted(r for r in rows if r[0] == s)
         for key in set(ordered):
             assert got[key] == ordered.index(key)
+
+
+def test_changed_configuration_or_subjects_refit_a_fold(spark):
+    from tidemark.operators.models import fold_key
+
+    few, more = spark.range(10).withColumnRenamed("id", "subject_id"), spark.range(11).withColumnRenamed("id", "subject_id")
+    assert fold_key(few, "a") == fold_key(few.repartition(3), "a")
+    assert len({fold_key(few, "a"), fold_key(few, "b"), fold_key(more, "a")}) == 3

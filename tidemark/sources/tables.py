@@ -68,18 +68,19 @@ def _reason(spec: TableSpec):
     return S.normalise_reason(spec.reason) if spec.reason_is_code else F.col(spec.reason).cast("string")
 
 
-def scan_event_table(raw: DataFrame, spec: TableSpec) -> DataFrame:
-    """One raw table in the common event layout."""
-    raw = raw.select(*spec.columns())
+def scan_event_table(raw: DataFrame, spec: TableSpec, kind_column: str | None = None) -> DataFrame:
+    """One raw table in the common event layout; ``kind_column`` names the kind where a table holds several."""
+    raw = raw.select(*dict.fromkeys([*spec.columns(), *([kind_column] if kind_column else [])]))
+    kind = F.col(kind_column) if kind_column else F.lit(spec.kind)
     numeric = F.col(spec.value_type) == "numeric" if spec.value_type else F.lit(False)
     null = F.lit(None)
     return raw.select(
         F.col(spec.subject).alias("subject_id"),
         _stamp(raw, spec.time).alias("ts"),
         (_stamp(raw, spec.stop) if spec.stop else null.cast("timestamp_ntz")).alias("stop"),
-        F.lit(spec.kind).alias("kind"),
+        kind.alias("kind"),
         F.col(spec.code).cast("string").alias("code"),
-        S.event_token(F.lit(spec.kind), spec.code).alias("token"),
+        S.event_token(kind, spec.code).alias("token"),
         (S.numeric_value(spec.value, spec.value_type) if spec.value else null.cast("double")).alias("value"),
         F.coalesce(numeric, F.lit(False)).alias("is_numeric"),
         _reason(spec).alias("reason"),
