@@ -391,10 +391,10 @@ def _(spark, folder):
 
 @query("C6_snap_date_only", wf("""
     select subject_id, kind, cast(ts as varchar) ts, cast(ts_seq as varchar) ts_seq, token, count(*) n
-    from b_events where kind = 'signup' group by all"""))
+    from b_events group by all"""))
 def _(spark, folder):
-    snapped = Activity(spark, folder).events.filter(F.col("kind") == "signup")
-    return snapped.groupBy("subject_id", "kind", F.col("ts").cast("string").alias("ts"),
+    """All kinds: the date-only one moves to the day's first visit, the others stay."""
+    return Activity(spark, folder).events.groupBy("subject_id", "kind", F.col("ts").cast("string").alias("ts"),
                            F.col("ts_seq").cast("string").alias("ts_seq"), "token").agg(F.count("*").alias("n"))
 
 
@@ -523,9 +523,9 @@ def _(spark, folder):
 
 
 @query("L5_at_risk_mask", wf("""
-    select subject_id, code, at_risk from a_labels where split <> 'test' and at_risk = 1"""))
+    select subject_id, code, split, at_risk from a_labels"""))
 def _(spark, folder):
-    return Purchases(spark, folder).labels.filter("split <> 'test' and at_risk = 1").select("subject_id", "code", "at_risk")
+    return Purchases(spark, folder).labels.select("subject_id", "code", "split", "at_risk")
 
 
 @query("L6_label_invariants", wf("""
