@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.config import ExampleConfig
 from tidemark.functions.time import midnight, span_of
@@ -36,13 +36,18 @@ def rolling_cutoffs(cohort: DataFrame, events: DataFrame, cfg: ExampleConfig) ->
 
 
 def history_counts(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """Events strictly before each candidate cutoff, from one count per (subject, stretch)."""
+    """Events strictly before each candidate cutoff with any, from one count per (subject, stretch)."""
     placed = (events.select("subject_id", "ts").join(boundaries(candidates), "subject_id")
               .filter(F.col("ts") < F.element_at("_bounds", -1))
               .withColumn("seg", F.size(F.filter("_bounds", lambda b: b <= F.col("ts")))))
     cells = placed.groupBy("subject_id", "seg").agg(F.count(F.lit(1)).alias("n"))
-    met = place_cutoffs(candidates).join(cells, "subject_id").filter(F.col("seg") < F.col("hi"))
-    return met.groupBy("subject_id", "cutoff", "split", "k").agg(F.sum("n").alias("n_before"))
+    # Cutoffs and stretches share one order, so a running sum serves all cutoffs of a subject in one sweep.
+    cutoffs = place_cutoffs(candidates).select("subject_id", F.col("hi").alias("seg"), F.lit(0).cast("bigint").alias("n"),
+                                               F.lit(0).alias("_cell"), "cutoff", "split", "k")
+    both = cells.withColumn("_cell", F.lit(1)).unionByName(cutoffs, allowMissingColumns=True)
+    sweep = W.partitionBy("subject_id").orderBy("seg", "_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = both.withColumn("n_before", F.sum("n").over(sweep))
+    return counted.filter("_cell = 0 and n_before > 0").select("subject_id", "cutoff", "split", "k", "n_before")
 
 
 def build_examples(cohort: DataFrame, events: DataFrame, cfg: ExampleConfig) -> DataFrame:
