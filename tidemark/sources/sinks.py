@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.scalars import clip_prob
 from tidemark.operators.checks import output_contract
 from tidemark.operators.sequences import Vocabulary
+from tidemark.sources.materialise import keep
 
 
 def scores_wide(scores: DataFrame, order: DataFrame, codes: Sequence[str]) -> DataFrame:
@@ -23,7 +24,7 @@ def write_scores_csv(scores: DataFrame, order: DataFrame, codes: Sequence[str],
 
     Parts are range-sorted by ordinal, so reading them by name gives the supplied order.
     """
-    wide = scores_wide(scores, order, codes)
+    wide = keep(scores_wide(scores, order, codes), "export")  # what is checked is what is written
     broken = [r.asDict() for r in output_contract(wide, order, codes).filter("n > 0").collect()]
     if broken:
         raise ValueError(f"export refused: {broken}")
