@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import checkpoint_dir
 
@@ -58,6 +58,24 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SAMPLE_RANGE = 1 << 30
+
+
+def sample_share(wanted, total) -> Column:
+    """The part of ``SAMPLE_RANGE`` in which about four times the wanted rows fall; all of it for small tables."""
+    return F.least(F.lit(SAMPLE_RANGE), F.ceil(F.lit(4.0 * SAMPLE_RANGE * wanted) / F.greatest(total, F.lit(1)))).cast("long")
+
+
+def hashed_sample(df: DataFrame, names: list[str], wanted: int, total: int) -> DataFrame:
+    """At most ``wanted`` rows of ``df``, by the hash of columns ``names``, to fit something on.
+
+    ``total`` is the number of rows or an upper bound. A first cut by the expected share keeps what tasks
+    offer independent of their number; the rows with the smallest hash are then taken.
+    """
+    place = F.pmod(F.xxhash64(*names), F.lit(SAMPLE_RANGE))
+    return df.withColumn("_place", place).filter(F.col("_place") < sample_share(wanted, F.lit(total))).orderBy("_place", *names).limit(wanted).drop("_place")
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     return [x if x is not None else b"" for x in column.cast("binary").to_pylist()]

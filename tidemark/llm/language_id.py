@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tidemark.llm.common import ship, vector_blocks, vector_sum
+from tidemark.llm.common import SAMPLE_RANGE, sample_share, ship, vector_blocks, vector_sum
 
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
@@ -166,12 +166,16 @@ def fit_language_model(docs: DataFrame, per_language: int = 400, max_languages:
         ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df = _document_frequencies(labelled)
     idf = np.log((1.0 + df[BUCKETS]) / (1.0 + df[:BUCKETS])) + 0.05
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
+    counts = labelled.groupBy("lang").count()
+    if counts.count() > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    # A limit on the rank is applied in each task before the shuffle.
-    place = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    slim = labelled.withColumn("text", F.substring("text", 1, max_chars))
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    # One row a language, at most ``max_languages``: small enough to broadcast.
+    # A first cut by each language's expected share, so that a task offers few rows however many tasks there are.
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE_RANGE))
+    few = labelled.withColumn("_place", place).join(F.broadcast(counts), "lang").filter(F.col("_place") < sample_share(per_language, F.col("count")))
+    slim = few.select("doc_id", "lang", "_place", F.substring("text", 1, max_chars).alias("text"))
+    place = W.partitionBy("lang").orderBy("_place", "doc_id", "text")
     sample = slim.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_language).orderBy("lang", "place").collect()
     examples = [(p, r["lang"]) for r in sample for p in _pieces(r["text"])]
     return LanguageModel(languages, idf.astype(np.float64)).fit(examples) if examples else LanguageModel([], idf)
