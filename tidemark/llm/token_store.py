@@ -11,19 +11,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.llm.common import LOWER_ASCII, by_size, text_bytes
+from tidemark.llm.common import LOWER_ASCII, by_size, ship, text_bytes
 from tidemark.llm.elias_fano import EliasFano
 
 BLOCK_TOKENS = 1 << 20
 # Words whose ids a worker remembers; it bounds memory and changes no result.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
 
 _BLOCK = ("part int, seq int, first long, n_docs int, n_tokens long, width int, ids binary, "
           "ends_bits int, ends_low binary, ends_high binary, ends_samples binary, "
@@ -49,22 +49,27 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.closing[i] = token.endswith("</w>")
         self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        # A word's row gives where its ids begin in one flat array, and how many they are.
+        self.rows: dict[bytes, int] = {}
+        self.begin, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64), 0
         self.marks = {m: self._plain([chr(m)])[0] for m in b".,"}
 
     def _plain(self, texts: list[str]) -> list[tuple[int, ...]]:
         return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of words that are not in memory yet."""
-        found, single, odd, stems = {}, [], [], {}
-        for w in missing:
-            # A last full stop or comma after a letter is always a token run of its own.
-            if len(w) > 1 and w[-1] in self.marks and 97 <= w[-2] <= 122:
-                stems[w] = w[:-1]
-        wanted = dict.fromkeys(w for w in [*(w for w in missing if w not in stems), *stems.values()] if w not in self.words)
-        for w in wanted:
-            (single if _ONE_WORD.match(w.decode()) else odd).append(w)
+    def _ids(self, word: bytes) -> tuple[int, ...]:
+        row = self.rows[word]
+        return tuple(self.flat[self.begin[row]:self.begin[row] + self.count[row]].tolist())
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Add rows for words that have none."""
+        # A last full stop or comma after a letter is always a token run of its own.
+        stems = {w: w[:-1] for w in missing if len(w) > 1 and w[-1] in self.marks and 97 <= w[-2] <= 122}
+        found: dict[bytes, tuple[int, ...]] = {}
+        single, odd = [], []
+        for w in dict.fromkeys([*(w for w in missing if w not in stems), *stems.values()]):
+            if w not in self.rows:
+                (single if _ONE_WORD.match(w.decode()) else odd).append(w)
         for a in range(0, len(single), 2_000):
             part = single[a:a + 2_000]
             ids = np.array(self._plain([b" ".join(part).decode()])[0])
@@ -76,34 +81,42 @@ class WordEncoder:
                 found[w], start = tuple(flat[start:stop]), stop
         found.update(zip(odd, self._plain([w.decode() for w in odd])))
         for w, stem in stems.items():
-            found[w] = (found.get(stem) or self.words[stem]) + self.marks[w[-1]]
-        return found
+            found[w] = (found[stem] if stem in found else self._ids(stem)) + self.marks[w[-1]]
+        counts = np.fromiter(map(len, found.values()), np.int64, len(found))
+        first, total = len(self.rows), int(counts.sum())
+        while first + len(found) > len(self.begin):
+            self.begin, self.count = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.count, np.zeros_like(self.count))
+        while self.used + total > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used:self.used + total] = np.fromiter((i for ids in found.values() for i in ids), np.int64, total)
+        self.count[first:first + len(found)] = counts
+        self.begin[first:first + len(found)] = self.used + np.cumsum(counts) - counts
+        self.used += total
+        self.rows.update(zip(found, range(first, first + len(found))))
+
+    def _forget(self, kept: int, used: int) -> None:
+        """Drop the rows from ``kept`` on, which are the last ones added."""
+        for w in list(islice(reversed(self.rows), len(self.rows) - kept)):
+            del self.rows[w]
+        self.used = used
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """Ids of each text with ``end_id`` appended."""
-        split = [None if any(s in t for s in self.special) else t.translate(LOWER_ASCII).split() for t in texts]
-        distinct = dict.fromkeys(w for words in split if words for w in words)
-        known = self.words
-        extra = self._learn([w for w in distinct if w not in known])
-        room = REMEMBERED_WORDS - len(known)
-        if room >= len(extra):
-            known.update(extra)
-            extra = {}
-        # Every distinct word becomes a row of one flat array; a text is a gather over it.
-        rows = {w: i for i, w in enumerate(distinct)}
-        values = [known[w] if w in known else extra[w] for w in distinct]
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
-        flat = np.fromiter((i for v in values for i in v), np.int64, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
+        split = [() if any(s in t for s in self.special) else t.translate(LOWER_ASCII).split() for t in texts]
+        kept, used = len(self.rows), self.used
+        self._learn([w for w in set().union(*split) if w not in self.rows])
+        words = list(map(len, split))
+        at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(split)), np.int64, sum(words))
+        n = self.count[at]
+        ends = np.cumsum(n)
+        ids = self.flat.take(np.repeat(self.begin[at] - (ends - n), n) + np.arange(int(n.sum())))
+        edges = np.concatenate([[0], ends])[np.cumsum([0, *words])].tolist()
         out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                ids = np.array(self._plain([text.decode()])[0], np.int64)
-            else:
-                at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-                n = sizes[at]
-                ids = flat[np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            out.append(np.append(ids, end_id))
+        for text, row, a, b in zip(texts, split, edges, edges[1:]):
+            one = ids[a:b] if row or not text else np.array(self._plain([text.decode()])[0], np.int64)
+            out.append(np.append(one, end_id))
+        if len(self.rows) > REMEMBERED_WORDS:
+            self._forget(kept, used)
         return out
 
 
@@ -133,6 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
                  block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode ``docs`` in ascending doc_id order (null first; ties by text) and write the blocks to ``path``."""
     spark = docs.sparkSession
+    ship(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in _BLOCK.split(", ")])
 
@@ -143,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
         ids, ends, held = [], [], 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in by_size([len(t) for t in texts]):
+            for a, b in by_size([len(t) for t in texts], 4 << 20):
                 for key, x in zip(keys[a:b], encoder.encode(texts[a:b], end_id)):
                     if ids and held + len(x) > block_tokens:
                         yield pa.RecordBatch.from_pylist([_block(part, seq, first, ids, ends, width)], schema)
@@ -187,6 +201,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(keys, pa.int64()), pa.array([row["part"]] * len(keys), pa.int32()), pa.array(starts + row["first"]),
                      pa.array(ends - starts), pa.array(sums, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32"])
 
+    ship(spark)
     blocks = spark.read.parquet(path)
     # One row per part of the range partitioning, whatever the number of documents.
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
