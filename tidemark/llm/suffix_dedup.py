@@ -12,7 +12,7 @@ comes as overlapping ones, which are joined per document; the edge of a context
 diverse, so none is lost.
 
 No group has to fit in one task: an anchor with more than ``GROUP_ROWS`` different contexts is dealt by
-stretch instead, where counting the members of a class needs no task to see them all.
+parts and stretches instead, where counting the members of a class needs no task to see them all.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ GRAM = 32  # bytes of an anchor
 SEGMENT = 1 << 20  # bytes of a text hashed at once
 # Different contexts of one anchor that a task holds; with more, the anchor is dealt by stretch.
 GROUP_ROWS = 1_024
+PART = 13  # neighbouring stretches of a crowded anchor that are first looked at together
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -253,24 +254,62 @@ def _trees(contexts: DataFrame, length: int) -> DataFrame:
     return columns.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _TREE)
 
 
-def _stretch_rows(contexts: DataFrame, length: int) -> DataFrame:
-    """(anchor, k1, k2, context, offset, many, place, left) of every stretch of the contexts of crowded anchors."""
+def _parts(before: int, size: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(part, low, high): the distances from a stretch's start to the anchor that a context has, in parts of ``PART``."""
+    low, high = before - min(before, size - length), before
+    for part in range(low // PART, high // PART + 1):
+        yield part, max(low, part * PART), min(high, part * PART + PART - 1)
+
+
+def _part_rows(contexts: DataFrame, length: int) -> DataFrame:
+    """A row for each part of the contexts of crowded anchors.
+
+    ``core`` hashes the bytes that all stretches of the part share, ``sub`` all bytes that they reach.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for anchor, context, before, many, body in zip(*(c.to_pylist() for c in batch.columns)):
+                for part, low, high in _parts(before, len(body), length):
+                    core = xxhash.xxh3_64_intdigest(body[before - part * PART:before - min(part * PART + PART - 1, length - GRAM) + length])
+                    sub = xxhash.xxh3_64_intdigest(body[before - high:before - low + length], (low << 16) + high)
+                    rows.append((anchor, part, core - (1 << 63), sub - (1 << 63), context, before, low, high, many))
+            if rows:
+                kinds = [pa.int64(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int16(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                 ["anchor", "part", "core", "sub", "context", "before", "low", "high", "many"])
+
+    schema = "anchor long, part short, core long, sub long, context long, before short, low short, high short, many boolean"
+    return contexts.select("anchor", "context", "before", "many", "body").mapInArrow(run, schema)
+
+
+def _stretch_rows(bodies: DataFrame, length: int) -> DataFrame:
+    """(anchor, k1, k2, context, part, away, many, left) of every stretch of the given parts of contexts.
+
+    ``away`` is the distance to the anchor, so equal rows but for the context are different places.
+    """
 
     def run(batches):
         for batch in batches:
-            anchor, context, doc, start, before, many, body = (c.to_pylist() for c in batch.columns)
+            anchor, context, before, wanted, body = (c.to_pylist() for c in batch.columns)
             for a, b in by_size([len(x) for x in body], 1 << 18):
                 owner, offset, x, y, left = stretch_classes(body[a:b], before[a:b], length)
-                take = lambda v, kind: pa.array(np.array(v[a:b], kind)[owner])
-                with np.errstate(over="ignore"):
-                    place = np.array(doc[a:b], np.int64)[owner] + (np.array(start[a:b], np.int64)[owner] + offset) * _ODD.astype(np.int64)
+                away = np.array(before[a:b], np.int64)[owner] - offset
+                table = np.zeros((b - a, (length - GRAM) // PART + 1), np.int8)  # 0: not wanted, 1: one place, 2: many
+                for i, parts in enumerate(wanted[a:b]):
+                    for w in parts:
+                        table[i, w["part"]] = 1 + w["many"]
+                state = table[owner, away // PART]
+                k = np.flatnonzero(state)
+                take = lambda v: pa.array(np.array(v[a:b], np.int64)[owner[k]])
                 yield pa.RecordBatch.from_arrays(
-                    [take(anchor, np.int64), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), take(context, np.int64), pa.array(offset.astype(np.int32)),
-                     take(many, bool), pa.array(place), pa.array(left.astype(np.int32))],
-                    ["anchor", "k1", "k2", "context", "offset", "many", "place", "left"])
+                    [take(anchor), pa.array(x[k].view(np.int64)), pa.array(y[k].view(np.int64)), take(context), pa.array((away[k] // PART).astype(np.int16)),
+                     pa.array(away[k].astype(np.int16)), pa.array(state[k] > 1), pa.array(left[k].astype(np.int16))],
+                    ["anchor", "k1", "k2", "context", "part", "away", "many", "left"])
 
-    columns = contexts.select("anchor", "context", "doc", "start", "before", "many", "body")
-    return columns.mapInArrow(run, "anchor long, k1 long, k2 long, context long, offset int, many boolean, place long, left int")
+    schema = "anchor long, k1 long, k2 long, context long, part short, away short, many boolean, left short"
+    return bodies.select("anchor", "context", "before", "wanted", "body").mapInArrow(run, schema)
 
 
 class RepeatIndex:
@@ -278,7 +317,7 @@ class RepeatIndex:
 
     ``places``: (d, mark, start, anchor, context) of every context with a repeated anchor; ``trees``: suffixes and
     intervals of the anchors with several contexts; ``whole``: (anchor, context, size) of contexts that occur more than once;
-    ``crowded``: (anchor, context, offset) of repeated stretches of anchors with very many contexts.
+    ``crowded`` and ``dealt``: repeated ranges, and left-diverse repeated stretches, of anchors with very many contexts.
     """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, length: int = LENGTH):
@@ -308,12 +347,39 @@ class RepeatIndex:
         texts = self.docs.select("d", "mark", "text").join(wanted, ["d", "mark"]).select(F.inline(cut))
         bodies = stored(spark, texts, "bodies")
         self.trees = stored(spark, _trees(bodies.filter(F.col("n") <= GROUP_ROWS), length), "trees")
-        stretches = stored(spark, _stretch_rows(bodies.filter(F.col("n") > GROUP_ROWS), length), "stretches")
-        key = ["anchor", "k1", "k2"]
-        classes = (stretches.groupBy(*key).agg(F.max("many").alias("many"), F.min("place").alias("first"), F.max("place").alias("last"),
-                                               F.min("left").alias("l"), F.max("left").alias("r")).filter("many or first <> last"))
-        self.classes = stored(spark, classes, "classes")
-        self.crowded = stretches.join(self.classes.select(*key), key).select("anchor", "context", "offset", *key[1:])
+        self._split_crowds(spark, bodies.filter(F.col("n") > GROUP_ROWS))
+
+    def _split_crowds(self, spark: SparkSession, bodies: DataFrame) -> None:
+        """Repeats of anchors with very many contexts, without a task that sees a whole anchor.
+
+        Stretches are taken in parts of neighbours. A part whose common core occurs once holds no repeat and goes;
+        parts that are equal become one; only the different parts left are opened into single stretches.
+        """
+        name = ["anchor", "part", "core"]
+        twice = (F.count(F.lit(1)) > 1) | F.max("many")
+        parts = stored(spark, _part_rows(bodies, self.length), "parts")
+        cores = parts.groupBy(*name).agg(twice.alias("twice")).filter("twice").drop("twice")
+        parts = stored(spark, parts.join(cores, name), "cores")
+        subs = stored(spark, parts.groupBy(*name, "sub").agg(F.min("context").alias("context"), twice.alias("many")), "subs")
+        wanted = subs.groupBy("anchor", "context").agg(F.collect_list(F.struct("part", "many")).alias("wanted"))
+        key = ["anchor", "away", "k1", "k2"]
+        stretches = stored(spark, _stretch_rows(bodies.drop("many").join(wanted, ["anchor", "context"]), self.length), "stretches")
+        classes = stretches.groupBy(*key).agg(twice.alias("twice"), F.min("left").alias("l"), F.max("left").alias("r")).filter("twice")
+        self.classes = stored(spark, classes.drop("twice"), "classes")
+        repeated = stored(spark, stretches.join(self.classes, key), "repeated")
+        # A stretch of a part stands in all contexts that have the part.
+        owners = parts.select(*name, "sub", F.col("context").alias("owner"), "before").join(
+            subs.select(*name, "sub", "context"), [*name, "sub"]).select("anchor", "part", "context", "owner", "before")
+        self.dealt = repeated.filter("l <> r or r = 256").select("anchor", "part", "context", "away", "k1", "k2").join(
+            owners, ["anchor", "part", "context"]).select("anchor", F.col("owner").alias("context"), (F.col("before") - F.col("away")).alias("offset"), "k1", "k2")
+        full = parts.join(subs.filter("many").select(*name, "sub"), [*name, "sub"]).select(
+            "anchor", "context", F.struct((F.col("before") - F.col("high")).cast("int").alias("a"),
+                                          (F.col("before") - F.col("low") + self.length).cast("int").alias("b")).alias("r"))
+        at = bodies.select("anchor", "context", "before")
+        single = repeated.filter("not many").select("anchor", "context", "away").join(at, ["anchor", "context"]).select(
+            "anchor", "context", F.struct((F.col("before") - F.col("away")).cast("int").alias("a"),
+                                          (F.col("before") - F.col("away") + self.length).cast("int").alias("b")).alias("r"))
+        self.crowded = full.unionByName(single)
 
     def groups(self) -> DataFrame:
         """Maximal repeats with all occurrences: anchor, low, high, depth, rank, doc_id, start.
@@ -329,9 +395,7 @@ class RepeatIndex:
         named = inside.select("anchor", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), "depth", "context", "offset").distinct()
         lone = self.whole.join(self.trees.select("anchor").distinct(), "anchor", "left_anti").select(
             "anchor", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.col("size").alias("depth"), "context", F.lit(0).alias("offset"))
-        diverse = self.classes.filter("l <> r or r = 256").select("anchor", "k1", "k2")
-        dealt = self.crowded.join(diverse, ["anchor", "k1", "k2"]).select(
-            "anchor", F.col("k1").alias("low"), F.col("k2").alias("high"), F.lit(self.length).alias("depth"), "context", "offset")
+        dealt = self.dealt.select("anchor", F.col("k1").alias("low"), F.col("k2").alias("high"), F.lit(self.length).alias("depth"), "context", "offset")
         every = named.unionByName(lone).unionByName(dealt)
         return every.join(place, ["anchor", "context"]).select(
             "anchor", "low", "high", "depth", null_id(F.col("d")).alias("doc_id"), (F.col("start") + F.col("offset")).alias("start"))
@@ -339,8 +403,7 @@ class RepeatIndex:
     def spans(self) -> DataFrame:
         """(d, mark, spans): the ranges of bytes of a text that lie in repeats, in no order and with overlaps."""
         run = F.struct(F.col("offset").alias("a"), (F.col("offset") + F.col("reach")).alias("b"))
-        covered = (self.trees.filter("reach > 0").select("anchor", "context", run.alias("r"))
-                   .unionByName(self.crowded.select("anchor", "context", F.struct(F.col("offset").alias("a"), (F.col("offset") + self.length).alias("b")).alias("r")))
+        covered = (self.trees.filter("reach > 0").select("anchor", "context", run.alias("r")).unionByName(self.crowded)
                    .groupBy("anchor", "context").agg(F.collect_set("r").alias("runs")))
         whole = self.whole.select("anchor", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("all"))
         by_context = stored(self.places.sparkSession, whole.join(covered, ["anchor", "context"], "full").select(
