@@ -114,6 +114,20 @@ def test_an_answer_that_is_missing_is_no_leak(spark, docs):
     assert {r["doc_id"] for r in got} == {9_001}
 
 
+def test_edits_of_the_last_sentence_are_leaks(spark, docs):
+    body = " ".join(f"q{k}" for k in range(30))
+    texts = [(1, f"{body}. Er."), (2, f"{body.replace('q', 'z')}. One two three four.")]
+    benchmark = spark.createDataFrame(texts, "item_id long, text string")
+    rows = [(1, f"start {body} um end"), (2, f"start {body} end"), (3, f"start {body.replace('q', 'z')} one five three six end"),
+            (4, f"start {' '.join(body.split()[:20])} er end")]
+    planted = docs.unionByName(spark.createDataFrame([(9_000 + d, t, "en", "s", 0) for d, t in rows], COLUMNS))
+    leaks = {(9_001, 1), (9_002, 1), (9_003, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(planted, benchmark).collect()} == leaks
+    # An answer without words is none.
+    silent = benchmark.withColumn("answer", F.lit("?!"))
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(planted, silent).collect()} == leaks
+
+
 # ---------------------------------------------------------------- HTML extraction
 
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style><body>
