@@ -3,8 +3,10 @@
 import heapq
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import mixing
 from tidemark.llm.mixing import apportion, mix, mixed_documents, sized, source_targets
 
 FOLDER = "/root/testdata/sf0.001"
@@ -81,3 +83,15 @@ def test_documents_of_the_mix_hold_the_words_taken(spark):
     for r in mixed_documents(docs).collect():
         words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
     assert words == {d: n for d, n in taken.items() if n}
+
+
+@pytest.mark.parametrize("blocks", [256, 1, 0.01])
+def test_a_small_source_meets_its_target_beside_a_large_one(spark, monkeypatch, blocks):
+    monkeypatch.setattr(mixing, "DOCS_PER_SHARD", 10)
+    monkeypatch.setattr(mixing, "BLOCKS_PER_SHARD", blocks)
+    rows = [(d, "w " * 10, "en", "a", 0) for d in range(300)] + [(1_000 + d, "w " * (40 + d % 90), "en", "b", 0) for d in range(1_500)]
+    got = mix(sized(spark.createDataFrame(rows, COLUMNS)), weights=(5, 1), share=1.2).collect()
+    assert all(r["taken"] <= 2 * r["size"] and sum(x["to"] - x["from"] for x in r["runs"]) == r["taken"] for r in got)
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 64

@@ -4,7 +4,8 @@ Targets are shares of the corpus by weight, capped at a number of epochs of each
 are dealt to shards and laid end to end in a seeded order; every (source, shard) is a run of
 blocks of ``block`` words. Blocks go to sources, and each source's blocks to its shards, by the
 highest quotients w / (2q + 1). A shard then takes its quota of blocks from a seeded start,
-going round at most ``epochs`` times. Only sizes and counts are shuffled; the last step is
+going round at most ``epochs`` times; what that cuts is taken from the source's other shards. The shards of a
+source follow from its own documents and words, so a small one is not thinned out by a large corpus. Only sizes and counts are shuffled; the last step is
 arithmetic on one row per document.
 """
 
@@ -15,10 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.llm.common import stored
-from tidemark.operators.distributed import beside
 
 WORD = r"[^\x20\x09-\x0D]+"
 DOCS_PER_SHARD = 20_000
+BLOCKS_PER_SHARD = 256  # at least, on average; a source of fewer blocks is one shard
 
 
 def _hash(*parts) -> Column:
@@ -90,8 +91,11 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     spark = sizes.sparkSession
     keyed = sizes.withColumns({"_named": F.col("source").isNotNull(), "_source": F.coalesce("source", F.lit(""))})
     base = stored(spark, keyed, "sized")  # texts are counted once
-    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_mark"), F.greatest(F.lit(1), F.ceil(F.col("_docs") / DOCS_PER_SHARD)))
-    base = beside(base, base.agg(F.count(F.lit(1)).alias("_docs"))).withColumn("_shard", shard).drop("_docs")
+    by_source = base.groupBy("_named", "_source").agg(F.count(F.lit(1)).alias("_docs"), F.sum("size").alias("_words"))
+    by_source = stored(spark, by_source, "sources")  # its size is known now, so Spark decides how to join it
+    shards = F.least(F.ceil(F.col("_docs") / DOCS_PER_SHARD), F.floor(F.col("_words") / (BLOCKS_PER_SHARD * block)))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_mark"), F.greatest(F.lit(1), shards))
+    base = base.join(by_source, ["_named", "_source"]).withColumn("_shard", shard).drop("_docs", "_words")
 
     slim = base.select("source", "size", "_named", "_source", "_shard")
     targets = (source_targets(slim, weights, share, epochs)
@@ -101,6 +105,14 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     seats = apportion(seats, [], "target", "_seats", ["_named", "_source"]).drop("_seats").withColumnRenamed("quota", "_blocks")
     cells = slim.groupBy("_named", "_source", "_shard").agg(F.sum("size").alias("_cell"))
     cells = apportion(cells.join(seats, ["_named", "_source"]), ["_named", "_source"], "_cell", "_blocks", ["_shard"])
+    # What a shard cannot give at ``epochs`` goes to the shards of its source that have room, in order.
+    source, cap = W.partitionBy("_named", "_source"), F.col("_cell") * epochs
+    cells = cells.withColumn("_length", F.least(F.col("quota") * block, cap))
+    short = F.sum(F.col("quota") * block - F.col("_length")).over(source)
+    before = F.coalesce(F.sum(cap - F.col("_length")).over(source.orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumns({"_short": short, "_before": before})
+    cells = cells.withColumn("_length", F.col("_length") + F.greatest(F.lit(0), F.least(cap - F.col("_length"), F.col("_short") - F.col("_before"))))
+    cells = cells.drop("_short", "_before")
     cells = stored(spark, cells, "cells")  # its size is known now, so Spark decides how to join it
 
     laid = W.partitionBy("_named", "_source", "_shard").orderBy(_hash(seed, F.col("doc_id")), "doc_id", "_mark")
@@ -108,17 +120,16 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     placed = placed.join(cells, ["_named", "_source", "_shard"])
 
     # The cell is a ring of words; the quota is a run on it from a seeded block, as if laid out epochs + 1 times.
-    length = F.least(F.col("quota") * block, F.col("_cell") * epochs)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_cell") / block))
     draw = F.conv(F.substring(_hash(seed, "start", F.col("_named"), F.col("_source"), F.col("_shard")), 1, 12), 16, 10).cast("long")
-    placed = placed.withColumn("_from", F.pmod(draw, blocks) * block).withColumn("_to", F.col("_from") + length)
+    placed = placed.withColumn("_from", F.pmod(draw, blocks) * block).withColumn("_to", F.col("_from") + F.col("_length"))
     runs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(epochs)), lambda k: F.struct(
         F.greatest(F.col("_from") - (F.col("_end") - F.col("size") + k * F.col("_cell")), F.lit(0)).cast("long").alias("from"),
         F.least(F.col("_to") - (F.col("_end") - F.col("size") + k * F.col("_cell")), F.col("size")).cast("long").alias("to"))),
         lambda r: r["from"] < r["to"])
     taken = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
     return (placed.withColumn("runs", runs).withColumn("taken", taken)
-            .drop("_named", "_source", "_shard", "_mark", "_end", "_cell", "_blocks", "quota", "_from", "_to"))
+            .drop("_named", "_source", "_shard", "_mark", "_end", "_cell", "_blocks", "quota", "_length", "_from", "_to"))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
