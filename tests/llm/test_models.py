@@ -160,6 +160,16 @@ def test_pages_give_their_articles(spark):
             assert r["text"] == "\n\n".join(b.text for b in blocks)
 
 
+def test_only_attributes_hide():
+    shown = ["title='The hidden costs of x'", 'class="content hidden md:block"', "data-note='is hidden'", 'aria-label="display: none"', "aria-hidden=false",
+             'title="aria-hidden=true"', "style='--x: hidden'", "data-hidden"]
+    gone = ["hidden", "HIDDEN=''", "class=a hidden", 'hidden="until-found"', "style='color: red; DISPLAY : none'", 'aria-hidden="true"', "aria-hidden = TRUE", "id='a'hidden"]
+    for a in shown:
+        assert [b.text for b in H.blocks_of(f"<div {a}><p>Some <a {a}>linked</a> words.</p></div>")] == ["Some linked words."], a
+    for a in gone:
+        assert H.blocks_of(f"<div {a}><p>Some words.</p></div>") == [], a
+
+
 def test_gradients_of_the_labeller():
     pages = [H.blocks_of(PAGE), H.blocks_of("<p>One short page.</p>")]
     net = H.BlockLabeller(hidden=3)
