@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.chat_format import format_chats
 from tidemark.llm.common import scratch, table
@@ -13,10 +13,13 @@ from tidemark.llm.exact_dedup import DigestIndex
 from tidemark.llm.html_extraction import extract_pages
 from tidemark.llm.language_id import fit_language_model, held_out, identify
 from tidemark.llm.license_scan import scan_licenses
+from tidemark.llm.merkle import prove_documents
 from tidemark.llm.mixing import mix, sized
+from tidemark.llm.period_runs import periodic_runs
 from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_store import read_tokens, write_tokens
+from tidemark.llm.window_dedup import remove_repeated_windows
 
 END_ID = 1
 
@@ -86,8 +89,46 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(spark, table(spark, folder, "documents"))
 
 
+def op11_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without windows of 13 words that an earlier document holds."""
+    found = remove_repeated_windows(spark, table(spark, folder, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document, checked against a copy in which half of the texts have lost their line ends."""
+    lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(lost, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = prove_documents(spark, table(spark, folder, "documents"), text)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text repeats a stretch of its words up to its end, as the contract of op13 says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w").cast("long"))
+    g = F.floor(F.col("h") / 10)
+    placed = chosen.withColumn("a", F.when(F.col("n") > 0, g % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    told = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(told, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of each document and what is left when each is cut to its first period."""
+    found = periodic_runs(with_repeats(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+                        (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_chat_formatting, op4_html_extraction, op5_simhash_near_dedup,
-                                   op6_token_output, op7_language_id, op8_source_mixing, op9_exact_dedup, op10_license_scans)}
+                                   op6_token_output, op7_language_id, op8_source_mixing, op9_exact_dedup, op10_license_scans,
+                                   op11_window_dedup, op12_merkle_manifest, op13_periodic_runs)}
 
 SQL = {
     "op3_chat_formatting": r"""
