@@ -130,6 +130,11 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_ch
                                    op6_token_output, op7_language_id, op8_source_mixing, op9_exact_dedup, op10_license_scans,
                                    op11_window_dedup, op12_merkle_manifest, op13_periodic_runs)}
 
+
+def _leaf_sql(text: str) -> str:
+    return " || ".join(f"coalesce(strlen({c})::varchar || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text))
+
+
 SQL = {
     "op3_chat_formatting": r"""
 with turns as (select distinct conv_id, turn, role, text from conversations),
@@ -147,4 +152,47 @@ where not exists (select 1 from prefixes p where p.length < p.n and p.length = w
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
 select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = min(doc_id) over g as kept, text_sha256
 from d window g as (partition by text_sha256)""",
+    "op11_window_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as k from d, unnest(range(1, len(w) - 11)) as t(i)),
+hits as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by k) as low from windows) where low < doc_id),
+gone as (select distinct doc_id, i + j as i from hits, range(13) as r(j)),
+words as (select doc_id, i, w[i] as word from d, unnest(range(1, len(w) + 1)) as t(i)),
+kept as (select doc_id, string_agg(word, ' ' order by i) as body, count(*) as n from words anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, len(w)::BIGINT as n_words, (len(w) - coalesce(n, 0))::BIGINT as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from d left join kept using (doc_id)""",
+    "op12_merkle_manifest": f"""
+with recursive
+d as (select *, xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::UBIGINT), lambda x, b:
+             list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)), xor(x, b)),
+             4294967295::UBIGINT), 4294967295::UBIGINT) % 2 = 0 as lost from documents),
+leaf as (select doc_id, source, sha256({_leaf_sql("text")}) as node, sha256({_leaf_sql("case when lost then replace(text, chr(10), '') else text end")}) as seen from d),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, node) - 1 as place, count(*) over (partition by source) as n from leaf),
+up as (
+  select source, 0 as level, place, node, n from placed
+  union all
+  select source, level + 1, place // 3, sha256(string_agg(node, '' order by place)), (n + 2) // 3 from up where n > 1 group by source, level, place // 3, n),
+root as (select source, node as subroot, row_number() over (order by source nulls first) - 1 as spot, count(*) over () as m from up where n = 1),
+over_ as (
+  select 0 as level, spot as place, subroot as node, m as n from root
+  union all
+  select level + 1, place // 3, sha256(string_agg(node, '' order by place)), (n + 2) // 3 from over_ where n > 1 group by level, place // 3, n),
+-- Every node of both trees that has runs above it: the lower tree's levels first.
+both_ as (
+  select coalesce(':' || source, '-') as tree, level, place, node from up where n > 1
+  union all select '', level, place, node from over_ where n > 1),
+start as (select doc_id, coalesce(':' || p.source, '-') as tree, place, spot, n, m, node as leaf, seen, subroot
+          from placed p join root r on p.source is not distinct from r.source),
+fold as (
+  select doc_id, leaf, subroot, tree, spot, 0 as level, case when n > 1 then place else spot end as place, case when n > 1 then n else m end as n, n > 1 as low, m, seen, '' as proof
+  from start
+  union all
+  select f.doc_id, f.leaf, f.subroot, f.tree, f.spot, case when f.low and f.n <= 3 then 0 else f.level + 1 end,
+         case when f.low and f.n <= 3 then f.spot else f.place // 3 end, case when f.low and f.n <= 3 then f.m else (f.n + 2) // 3 end, f.low and f.n > 3, f.m,
+         sha256(string_agg(case when b.place = f.place then f.seen else b.node end, '' order by b.place)),
+         f.proof || coalesce(string_agg(b.node, '' order by b.place) filter (b.place <> f.place), '')
+  from fold f join both_ b on b.tree = case when f.low then f.tree else '' end and b.level = f.level and b.place // 3 = f.place // 3
+  where f.n > 1 group by f.doc_id, f.leaf, f.subroot, f.tree, f.spot, f.level, f.place, f.n, f.low, f.m, f.seen, f.proof)
+select doc_id, leaf, subroot, r.root, sha256(proof) as proof_sha256, seen as folded_root, seen = r.root as verified
+from fold, (select node as root from over_ where n = 1) r where not low and fold.n = 1""",
 }

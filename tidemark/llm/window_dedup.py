@@ -59,9 +59,10 @@ def super_kmers(words: list[bytes], ends: np.ndarray, window: int, gram: int = G
         least = np.minimum(least[:-step], least[step:])
         span += step
     size = np.diff(ends, prepend=0)
-    inside = np.repeat(ends, size)[:len(least)] >= np.arange(len(least)) + window
+    end = np.repeat(ends, size)[:len(least)]
+    inside = end >= np.arange(len(least)) + window
     new = inside.copy()
-    new[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
+    new[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (end[1:] != end[:-1])
     at = np.arange(len(least))
     since = at - np.maximum.accumulate(np.where(new, at, 0))
     new |= inside & (since % LONGEST == 0)
@@ -70,8 +71,7 @@ def super_kmers(words: list[bytes], ends: np.ndarray, window: int, gram: int = G
         return none, none, none
     # A super-k-mer ends where the next one begins or where windows would leave the text.
     stop = np.append(first[1:], len(least))
-    last_inside = np.repeat(ends, size)[first] - window + 1
-    return least[first].view(np.int64), first, np.minimum(stop, last_inside) - first
+    return least[first].view(np.int64), first, np.minimum(stop, end[first] - window + 1) - first
 
 
 def _cuts(window: int):
