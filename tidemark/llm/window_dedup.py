@@ -19,7 +19,7 @@ from tidemark.llm.common import by_size, ship, stored, text_bytes
 
 GRAM = 5  # words of a minimiser gram
 LONGEST = 255  # windows of a super-k-mer; longer stretches of one minimiser are cut
-BUCKET_ROWS = 4_096  # different super-k-mers of a bucket that one task sorts together
+BUCKET_ROWS = 4_096  # super-k-mers of a bucket that one task sorts together
 BATCH_WINDOWS = 1 << 18  # windows sorted at once; bounds memory
 _LAST = (1 << 63) - 1
 _KEY = ["doc", "mark"]
@@ -240,23 +240,24 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, window: int = 13) ->
     keyed = _keyed(docs)
     cuts = keyed.select(*_KEY, "text").mapInArrow(_cuts(window), "m long, doc long, mark long, place long, sure boolean")
     deal = F.when(F.col("sure"), F.xxhash64(*_KEY, "place")).otherwise(F.col("m"))
-    pairs = (cuts.withColumn("deal", deal).repartition("deal").sortWithinPartitions("sure", "m").drop("deal")
-             .mapInArrow(_repeated, "m long, doc long, mark long, place long"))
-    held = pairs.groupBy(*_KEY).agg(F.collect_set(F.struct("m", "place")).alias("wanted"))
+    pairs = cuts.repartition(deal).sortWithinPartitions("sure", "m").mapInArrow(_repeated, "m long, doc long, mark long, place long")
+    held = stored(spark, pairs.groupBy(*_KEY).agg(F.collect_set(F.struct("m", "place")).alias("wanted")), "wanted")
     packed = stored(spark, keyed.select(*_KEY, "text").join(held, _KEY)
                     .mapInArrow(_packed(window), "m long, packed binary, doc long, mark long, start long"), "packed")
 
-    met = packed.groupBy("m", "packed").agg(F.min(_rank()).alias("lo"), F.max(_rank()).alias("hi"))
-    met = stored(spark, met.withColumn("id", F.xxhash64("packed")), "different")
-    crowded = met.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET_ROWS).select("m")
+    crowded = packed.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET_ROWS).select("m")
     crowded = stored(spark, crowded, "crowded")
+    ends = [F.min(_rank()).alias("lo"), F.max(_rank()).alias("hi")]
     answer = "m long, id long, lows array<long>"
-    few = (met.join(crowded, "m", "left_anti").select("m", "id", "packed", "lo", "hi").repartition("m").sortWithinPartitions("m")
-           .mapInArrow(_bucketed(window), answer))
-    single = stored(spark, met.join(crowded, "m", "left_semi").select("m", "id", "packed", "lo")
+    # Dealt by minimiser before equal strings are merged, so that a bucket's strings are together without being sent again.
+    few = packed.join(crowded, "m", "left_anti").repartition("m").groupBy("m", "packed").agg(*ends)
+    few = (few.select("m", F.xxhash64("packed").alias("id"), "packed", "lo", "hi").sortWithinPartitions("m").mapInArrow(_bucketed(window), answer))
+    # Buckets of many strings: equal ones are merged before they are sent, and the windows of the rest go their own ways.
+    many = packed.join(crowded, "m", "left_semi").groupBy("m", "packed").agg(*ends)
+    single = stored(spark, many.select("m", F.xxhash64("packed").alias("id"), "packed", "lo")
                     .mapInArrow(_windows(window), "m long, id long, place int, words binary, lo long"), "windows")
     lowest = single.groupBy("words").agg(F.min("lo").alias("lowest"))
-    many = (single.join(lowest, "words").groupBy("m", "id").agg(F.array_sort(F.collect_list(F.struct("place", "lowest")))["lowest"].alias("lows")))
+    many = single.join(lowest, "words").groupBy("m", "id").agg(F.array_sort(F.collect_list(F.struct("place", "lowest")))["lowest"].alias("lows"))
     answers = stored(spark, few.union(many), "lowest")
 
     starts = F.filter(F.transform("lows", lambda low, j: F.when(low < _rank(), F.col("start") + j)), lambda x: x.isNotNull())
