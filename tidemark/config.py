@@ -99,8 +99,9 @@ class LogisticConfig:
 class TreeConfig:
     learning_rate: float = 0.05
     max_iter: int = 300
-    max_depth: int = 4
+    max_leaf_nodes: int = 15
     min_samples_leaf: int = 5
+    l2_regularization: float = 1.0
     max_bins: int = 255
 
 

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.config import EPS
-from tidemark.functions.hashing import draw
 from tidemark.functions.scalars import clip_prob
-from tidemark.operators.distributed import beside, exact_quantiles, hash_rank, prefix_sums, value_bucket
+from tidemark.operators.bootstrap import bootstrap_by_label
+from tidemark.operators.distributed import beside, exact_quantiles, hash_rank, prefix_sums
 
 
 def label_metrics(rows: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", weight: str | None = None,
@@ -81,25 +81,9 @@ def per_code_table(rows: DataFrame, descriptions: DataFrame | None = None) -> Da
 # ---------------------------------------------------------------- resampling
 
 
-def bootstrap_weights(subjects: DataFrame, n_boot: int, seed) -> DataFrame:
-    """How often each replicate draws each subject: n draws with replacement per replicate.
-
-    Every subject is also one slot of every replicate, so the draws are made where the
-    subjects lie and only (replicate, rank) counts are shuffled.
-    """
-    ranked = hash_rank(subjects.select("subject_id").distinct(), "subject_id", seed)
-    slots = ranked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    picks = slots.select("replicate", (draw(seed, F.col("replicate"), F.col("rank")) % F.col("rank_n")).alias("rank"))
-    weights = picks.groupBy("replicate", "rank").agg(F.count(F.lit(1)).alias("w"))
-    return weights.join(ranked.select("subject_id", "rank"), "rank").select("replicate", "subject_id", "w")
-
-
 def bootstrap_metrics(rows: DataFrame, n_boot: int, seed) -> DataFrame:
     """Macro metrics per (model, replicate); labels a replicate cannot score are left out and counted."""
-    bucketed = value_bucket(rows.select("subject_id", "model", "code", "p", "y"), ["model", "code"], "p")
-    drawn = bucketed.join(bootstrap_weights(rows, n_boot, seed), "subject_id")
-    per_label = label_metrics(drawn, ["model", "replicate", "code"], weight="w", bucketed=True)
-    return macro(per_label, ["model", "replicate"])
+    return macro(bootstrap_by_label(rows, n_boot, seed), ["model", "replicate"])
 
 
 def _interval(name: str) -> list[Column]:

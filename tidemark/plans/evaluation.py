@@ -11,7 +11,7 @@ from tidemark.plans import features  # noqa: F401  (defines the feature fragment
 from tidemark.plans.catalog import draw_sql, fragment, query, with_fragments as wf
 from tidemark.sources.demo import Driver, Purchases
 
-N_BOOT = 20
+N_BOOT = 2_000
 
 
 def _r(name: str, digits: int = 6, alias: str | None = None) -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +44,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, for the fits whose tasks run Python."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    # Spark's file server hands the archive to every executor, late ones included.
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"{package.name}_core.zip"
+    archive.write_bytes(packed.getvalue())
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark."""
     builder = (
