@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import LogisticConfig, TreeConfig
 from tidemark.functions.hashing import draw
-from tidemark.operators import boosting as BO, bootstrap as BS, linear as LI, metrics as M, models as MO
+from tidemark.operators import boosting as BO, bootstrap as BS, distributed as DI, folds as FO, linear as LI, metrics as M, models as MO
 from tidemark.operators.blocks import sparse_rows
 
 CODES = ["c0", "c1", "c2", "rare", "full"]
@@ -235,3 +235,63 @@ def test_bootstrap_matches_plain_resampling(spark, monkeypatch, cells):
         expected = _plain_metrics(mine, {s: int(w[b]) for s, w in weights.items()})
         assert found[:2] == expected[:2]
         assert found[2:] == (pytest.approx(expected[2:]) if expected[2] is not None else (None, None))
+
+
+# Iterative stratification
+
+
+def test_shares_equal_one_by_one_dealing():
+    rng = random.Random(2)
+    for _ in range(300):
+        k = rng.randrange(1, 6)
+        need = [rng.choice([rng.uniform(-3, 9), float(rng.randrange(-3, 9)), 2.4]) for _ in range(k)]
+        size = [rng.randrange(5) for _ in range(k)]
+        n = rng.randrange(0, 40)
+        taken = [0] * k
+        for _ in range(n):
+            f = min(range(k), key=lambda f: (-round(need[f] - taken[f], 9), size[f] + taken[f], f))
+            taken[f] += 1
+        assert FO.fold_shares(n, need, size) == taken
+    assert sum(FO.fold_shares(10**9 + 3, [0.5, 7.25, 7.25], [1, 2, 2])) == 10**9 + 3
+
+
+def test_iterative_folds_match_plain_rounds(spark):
+    rng = random.Random(8)
+    rate = {"x": 0.04, "y": 0.2, "z": 0.5}
+    held = {s: {c for c, q in rate.items() if rng.random() < q} for s in range(300)}
+    rows = [(s, c, int(c in held[s])) for s in held for c in [*rate, "none"]]
+    labels = spark.createDataFrame(rows, "subject_id long, code string, y int")
+    got = {r["subject_id"]: r["fold"] for r in FO.iterative_folds(labels).collect()}
+    assert set(got) == set(held)
+    order = sorted(rate, key=lambda c: (sum(c in h for h in held.values()), c))
+    need, size, seen = {c: [sum(c in h for h in held.values()) / 5] * 5 for c in order}, [0] * 5, set()
+    for c in [*order, None]:
+        mine = [s for s in held if s not in seen and (c is None or c in held[s])]
+        shares = FO.fold_shares(len(mine), need[c] if c else [-x for x in size], size)
+        assert [sum(got[s] == f for s in mine) for f in range(5)] == shares
+        for s in mine:
+            size[got[s]] += 1
+            for other in held[s]:
+                need[other][got[s]] -= 1
+        seen |= set(mine)
+    first = [sum(got[s] == f for s in held if order[0] in held[s]) for f in range(5)]
+    assert max(first) - min(first) <= 1 and max(size) - min(size) <= 3
+    assert FO.iterative_folds(labels.limit(0)).count() == 0
+
+
+def test_range_rank_over_groups_and_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("aab"), rng.randrange(2), rng.randrange(5), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, k int, v int, i long").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = DI.range_rank(df, ["g", "k"], ["v", "i"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in sorted(got, key=lambda r: (r["g"], r["k"], r["v"], r["i"])):
+        groups.setdefault((r["g"], r["k"]), []).append(r)
+    assert len(got) == len(rows)
+    for mine in groups.values():
+        assert [r["rank"] for r in mine] == list(range(len(mine))) and {r["rank_n"] for r in mine} == {len(mine)}
+    assert DI.range_rank(df.limit(0), ["g", "k"], ["v", "i"]).count() == 0

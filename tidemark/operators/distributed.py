@@ -9,9 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.hashing import digest
+from tidemark.session import ship
+from tidemark.sources.materialise import keep
 
 # Hash buckets per group: four hex digits, so at most 65,536 bucket totals a group.
 HASH_DIGITS = 4
@@ -129,6 +134,43 @@ def counted_quantiles(counted: DataFrame, by: Sequence[str], value: str, count:
     return groups.select(*by, F.array(*values).alias(out), F.col("_size").alias("n"))
 
 
+def range_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
+    """0-based place of every row in its group by ``order``, plus the group size ``<out>_n``, from one order for all groups.
+
+    Rows are dealt in ranges of (by, order) and stored; places inside a range are counted as the sorted rows stream by, and
+    only the rows of each group in each range are summed up, of which there are as many as groups and ranges together.
+    Rows that are equal in all of ``order`` get different places. No column of ``by`` is null.
+    """
+    by = list(by)
+    ship(df.sparkSession)
+    at = [df.columns.index(c) for c in by]
+
+    def number(batches):
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in at]
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            first = tuple(k[0] for k in keys)
+            rows = np.arange(batch.num_rows)
+            place = rows - np.maximum.accumulate(np.where(new, rows, 0))
+            if first == last:
+                place[:int(np.argmax(new)) if new.any() else len(new)] += n
+            last, n = tuple(k[-1] for k in keys), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], [*batch.schema.names, "_place"])
+
+    schema = StructType([*df.schema.fields, StructField("_place", LongType())])
+    ranges = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).mapInArrow(number, schema)
+    ranges = keep(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    counted = ranges.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counted.select(*by, "_range", F.coalesce(F.sum("_n").over(_preceding(_over(by).orderBy("_range"))), F.lit(0)).alias("_start"),
+                            F.sum("_n").over(_over(by)).alias(f"{out}_n"))
+    return ranges.join(starts, [*by, "_range"]).withColumn(out, F.col("_place") + F.col("_start")).drop("_place", "_range", "_start")
+
+
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame to every row, as a scalar lookup."""
     names = one_row.columns

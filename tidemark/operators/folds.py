@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.operators.distributed import hash_rank
+from tidemark.sources.materialise import keep
 
 SPLIT_SEED = 12345
 
@@ -70,6 +76,61 @@ def stratified_folds(labels: DataFrame, n_splits: int = 5, seed: int = SPLIT_SEE
     return dealt.select("subject_id", "stratum", ((F.col("_start") + F.col("rank")) % n_splits).cast("int").alias("fold"))
 
 
+def fold_shares(n: int, need: Sequence[float], size: Sequence[int]) -> list[int]:
+    """How many of ``n`` subjects each fold gets if every one goes to the fold in most need, ties to the emptiest, then the first.
+
+    A fold's need falls by one with each subject, so all places above a level of need are given at once; the level is
+    searched, and only the last few places are dealt one by one.
+    """
+    above = lambda level: [max(0, math.ceil(x - level)) for x in need]
+    low, high = min(need) - n - 1.0, max(need)
+    while high - low > 1e-6:  # closer, rounding would tell equal needs apart
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(above(middle)) > n else (low, middle)
+    taken = above(high)
+    while sum(taken) < n:
+        f = min(range(len(need)), key=lambda f: (-round(need[f] - taken[f], 9), size[f] + taken[f], f))
+        taken[f] += 1
+    return taken
+
+
+def iterative_folds(labels: DataFrame, n_splits: int = 5, seed: int = SPLIT_SEED) -> DataFrame:
+    """(subject_id, fold): iterative stratification over all codes at once (Sechidis and others, 2011).
+
+    A table (fold, code) holds how many positives each fold still needs. From the rarest code on, the subjects of that code
+    that have no fold yet go to the folds in most need of it, and count for all their codes; those without a positive
+    go to the emptiest. A code is one round: its subjects are dealt in one job, in the order of their md5, and only
+    (fold, code) counts reach the driver. Equal codes go by name.
+    """
+    positives = keep(labels.filter("y = 1").select("subject_id", "code").distinct(), "positives")
+    open_ = keep(labels.select("subject_id").distinct(), "open")
+    totals = sorted((r["n"], r["code"]) for r in positives.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())
+    need = {code: [n / n_splits] * n_splits for n, code in totals}
+    size, parts = [0] * n_splits, []
+
+    def deal(subjects: DataFrame, wanted: Sequence[float]) -> DataFrame | None:
+        ranked = keep(hash_rank(subjects, "subject_id", seed), "ranked")
+        n = ranked.count()
+        if not n:
+            return None
+        ends = list(accumulate(fold_shares(n, wanted, size)))
+        fold = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("rank"))).cast("int")
+        parts.append(ranked.select("subject_id", fold.alias("fold")))
+        for r in parts[-1].groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect():
+            size[r["fold"]] += r["n"]
+        return parts[-1]
+
+    for _, code in totals:
+        dealt = deal(open_.join(positives.filter(F.col("code") == code), "subject_id", "left_semi"), need[code])
+        if dealt is None:
+            continue
+        for r in positives.join(dealt, "subject_id").groupBy("fold", "code").agg(F.count(F.lit(1)).alias("n")).collect():
+            need[r["code"]][r["fold"]] -= r["n"]
+        open_ = keep(open_.join(dealt, "subject_id", "left_anti"), "open")
+    deal(open_, [-s for s in size])
+    return reduce(DataFrame.unionByName, parts) if parts else open_.withColumn("fold", F.lit(0))
+
+
 def fold_diagnostics(folds: DataFrame, labels: DataFrame) -> DataFrame:
     """Per fold: subjects, and the positives of its scarcest and of all codes."""
     joined = labels.join(folds.select("subject_id", "fold"), "subject_id")

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.config import EPS
+from tidemark.functions.hashing import digest
 from tidemark.functions.scalars import clip_prob
 from tidemark.operators.bootstrap import bootstrap_by_label
-from tidemark.operators.distributed import beside, exact_quantiles, hash_rank, prefix_sums
+from tidemark.operators.distributed import beside, exact_quantiles, prefix_sums, range_rank
 
 
 def label_metrics(rows: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", weight: str | None = None,
@@ -134,17 +135,12 @@ def resolvable(paired: DataFrame, metric: str = "d_macro_ap", other: str = "d_ma
 def within_fold_rank(rows: DataFrame, seed="tie") -> DataFrame:
     """Rank of each score inside its (model, fold, code), scaled to [0, 1]: ``p_rank``.
 
-    Equal scores are ordered by the md5 of the subject. Distinct scores are prefix-summed
-    first; the order inside one score is a hash rank, so no fold or score sits in one task.
+    Equal scores are ordered by the md5 of the subject. All groups share one range-partitioned order, so no fold or
+    score sits in one task.
     """
     by = ["model", "fold", "code"]
-    sizes = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = prefix_sums(sizes, by, "p", ["_n"]).select(*by, "p", "_n_before", "_n_total")
-    inside = hash_rank(rows, "subject_id", seed, [*by, "p"], "_tie")
-    position = F.col("_n_before") + F.col("_tie")
-    scaled = position / F.greatest(F.col("_n_total") - 1, F.lit(1))
-    return (inside.join(offsets, [*by, "p"]).withColumn("p_rank", scaled)
-            .drop("_tie", "_tie_n", "_n_before", "_n_total"))
+    ranked = range_rank(rows.withColumn("_tie", digest(seed, F.col("subject_id"))), by, ["p", "_tie", "subject_id"], "_at")
+    return ranked.withColumn("p_rank", F.col("_at") / F.greatest(F.col("_at_n") - 1, F.lit(1))).drop("_tie", "_at", "_at_n")
 
 
 def fold_summary(rows: DataFrame) -> DataFrame:

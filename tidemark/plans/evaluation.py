@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.scalars import as_day, tidy
-from tidemark.operators import calibrate as CA, diagnostics as D, folds as FO, metrics as M, models as MO
+from tidemark.operators import calibrate as CA, diagnostics as D, distributed as DI, folds as FO, metrics as M, models as MO
 from tidemark.plans import features  # noqa: F401  (defines the feature fragments)
 from tidemark.plans.catalog import draw_sql, fragment, query, with_fragments as wf
 from tidemark.sources.demo import Driver, Purchases
@@ -82,6 +82,26 @@ def _(spark, folder):
     return FO.stratified_folds(Purchases(spark, folder).labels.filter("split = 'train'"))
 
 
+@query("K5_iterative_stratification", wf("""
+    select code, sum(y)::bigint n_pos, (select count(distinct subject_id) from a_train_labels) n_subjects,
+           case when row_number() over (order by sum(y), code) = 1 then 1 end as is_level
+    from a_train_labels group by 1"""))
+def _(spark, folder):
+    """Folds from iterative stratification: positives of each code, subjects dealt (each once), and whether the code treated first,
+    the rarest, is level over the folds: less than one positive from a fifth in each. Later codes are as level as earlier ones let them be.
+    """
+    labels = Purchases(spark, folder).labels.filter("split = 'train'")
+    folds = FO.iterative_folds(labels)
+    cells = labels.join(folds, "subject_id").groupBy("code", "fold").agg(F.sum("y").alias("pos"))
+    n = folds.agg(F.countDistinct("subject_id").alias("n_subjects"), F.count(F.lit(1)).alias("n_rows"))
+    table = cells.groupBy("code").agg(F.sum("pos").alias("n_pos"), F.max("pos").alias("hi"), F.min("pos").alias("lo"))
+    table = DI.beside(table, table.agg(F.min(F.struct("n_pos", "code"))["code"].alias("rarest")))
+    found = DI.beside(table, n).filter("n_subjects = n_rows")
+    ideal = F.col("n_pos") / 5
+    level = ((F.col("hi") - ideal < 1) & (ideal - F.col("lo") < 1)).cast("int")
+    return found.select("code", "n_pos", "n_subjects", F.when(F.col("code") == F.col("rarest"), level).alias("is_level"))
+
+
 @query("K6_fold_diagnostics", wf("""
     select fold, (select count(*) from a_folds g where g.fold = p.fold) n_subjects, min(pos)::bigint min_positives,
            sum(pos)::bigint n_positives, count(*) filter (pos = 0) n_empty_codes
