@@ -114,6 +114,36 @@ def test_an_answer_that_is_missing_is_no_leak(spark, docs):
     assert {r["doc_id"] for r in got} == {9_001}
 
 
+def test_recall_by_edit_rate_and_few_candidates(spark, docs):
+    """At least 0.95 of edited items are found at each rate, and under one in 1,000 pairs of a window and an item is a candidate."""
+    rng = random.Random(5)
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    filler = [r["text"].encode() for r in docs.collect() if r["text"]]
+    words = [w for t in filler for w in D.words_of(t)]
+    for copies in (1, 8):
+        more = benchmark.select((F.col("item_id") + 1_000 * F.lit(copies)).alias("item_id"), "text")
+        for k in range(1, copies):
+            # Other items from the same words, two words of three replaced.
+            told = [(r["item_id"] + 1_000 * k, " ".join(rng.choice(words).decode() if rng.random() < 0.67 else w for w in r["text"].split())) for r in benchmark.collect()]
+            more = more.union(spark.createDataFrame(told, "item_id long, text string"))
+        blocks = [index for blocks in D.index_passes(docs, more) for index in blocks]
+        assert all(index.kept.min() > 0.49 for index in blocks)
+        clean = D.Texts(filler)
+        pairs = len(clean.owner) * sum(len(index.items) for index in blocks)
+        assert sum(len(index.reachable(clean)) for index in blocks) < 0.001 * pairs
+        items = [(index, item) for index in blocks for item in index.items]
+        for rate in (0.05, 0.1, 0.15, 0.19):
+            hit = 0
+            for index, item in (chosen := rng.sample(items, min(40, len(items)))):
+                told = list(item.words)
+                for at in rng.sample(range(len(told)), int(rate * len(told))):
+                    told[at] = rng.choice(words)
+                host = rng.choice(filler).split()
+                text = b" ".join(host[:rng.randrange(60)] + told + host[60:120])
+                hit += item.item_id in {m[0] for m in index.search(D.Texts([text]))[0]}
+            assert hit >= 0.95 * len(chosen), (copies, rate, hit)
+
+
 def test_edits_of_the_last_sentence_are_leaks(spark, docs):
     body = " ".join(f"q{k}" for k in range(30))
     texts = [(1, f"{body}. Er."), (2, f"{body.replace('q', 'z')}. One two three four.")]
