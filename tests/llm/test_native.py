@@ -50,10 +50,24 @@ def test_chat_edges(spark):
     got = {(r["conv_id"], r["n_turns"], r["n_copies"], r["text"]) for r in format_chats(spark, df).collect()}
     line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
     assert got == {(1, 2, 2, line("user", "hi") + line("assistant", "yo")), (7, 2, 1, line("user", "hi") + line("assistant", "other")),
-                   (4, 1, 1, line("user", "")), (5, 1, 1, line("", "hi")), (None, 1, 1, line("user", "alone")), (6, 1, 1, line("user", ""))}
+                   (4, 1, 2, line("user", "")), (5, 1, 1, line("", "hi")), (None, 1, 1, line("user", "alone"))}
     assert format_chats(spark, df.limit(0)).collect() == []
 
 
+def test_chats_that_render_alike_are_one(spark, tmp_path):
+    """A null text or role counts as empty, rows without conv_id stay apart, and the SQL says the same."""
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "yo"), (2, 0, "user", ""), (3, 0, "user", ""), (3, 0, "user", None), (4, 0, None, "x" * 200_000),
+            (5, 0, "", "x" * 200_000), (None, 0, "user", "alone"), (None, 1, "user", "other"), (None, 1, "user", "other"), (None, 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = format_chats(spark, df)
+    assert {(r["conv_id"], r["n_turns"], r["n_copies"]) for r in got.collect()} == {(1, 2, 1), (4, 1, 2), (None, 1, 1)}
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = connect(FOLDER)
+    con.execute(f"create or replace view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    _, message = compare(got, con, queries.SQL["op3_chat_formatting"])
+    assert not message, message
+
+
 def plain_scan(text):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
     hits = [(i, label) for p, label in BASE_PHRASES.items() for i in range(len(words)) if words[i:i + len(p.split())] == p.encode().split()]

@@ -19,13 +19,14 @@ CHATML = ("<|im_start|>", "\n", "<|im_end|>\n")
 def gather_turns(rows: DataFrame) -> DataFrame:
     """One row per conversation: key, conv_id and its turns in order.
 
-    Turns are ordered by turn, role and text, nulls first; rows repeated exactly count once. A row
-    without conv_id cannot be tied to others and is a conversation of one turn. A conversation is
+    Turns are ordered by turn, role and text, null turns first; rows repeated exactly count once. A row
+    without conv_id cannot be tied to others and is a conversation of one turn. A null role or text
+    is an empty one, as both are rendered alike. A conversation is
     one output record and is held by one task, like any other record.
     """
-    own = F.xxhash64("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.col("role").isNull())
-    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("n"), own.cast("string")))
-    turn = F.struct("turn", "role", "text")
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.sha2(F.to_json(turn), 256)
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("n"), own))
     return (rows.select(key.alias("key"), "conv_id", turn.alias("t"))
             .groupBy("key").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_set("t")).alias("turns")))
 
@@ -34,8 +35,7 @@ def prefix_hashes(conversations: DataFrame) -> DataFrame:
     """(key, conv_id, n, length, a, b): 128 bits naming the first ``length`` of ``n`` turns."""
 
     def mark(t, i, salt):
-        return F.xxhash64(F.lit(salt), i, t["role"].isNull(), F.coalesce(t["role"], F.lit("")), t["text"].isNull(),
-                          F.coalesce(t["text"], F.lit("")))
+        return F.xxhash64(F.lit(salt), i, t["role"], t["text"])
 
     marks = F.transform("turns", lambda t, i: F.struct(mark(t, i, 1).alias("a"), mark(t, i, 2).alias("b")))
     turns = conversations.select("key", "conv_id", F.size("turns").alias("n"), F.posexplode(marks).alias("pos", "m"))

@@ -137,14 +137,14 @@ def _leaf_sql(text: str) -> str:
 
 SQL = {
     "op3_chat_formatting": r"""
-with turns as (select distinct conv_id, turn, role, text from conversations),
+with turns as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+keyed as (select *, case when conv_id is null then row_number() over () end as own from turns),
 placed as (
-  select conv_id, row_number() over w as length,
-         '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) as line
-  from turns window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)),
+  select conv_id, own, row_number() over w as length, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as line
+  from keyed window w as (partition by conv_id, own order by turn nulls first, role, text)),
 prefixes as (
-  select conv_id, length, max(length) over (partition by conv_id) as n,
-         string_agg(line, '') over (partition by conv_id order by length) as body from placed),
+  select conv_id, length, max(length) over (partition by conv_id, own) as n,
+         string_agg(line, '') over (partition by conv_id, own order by length) as body from placed),
 whole as (select min(conv_id) as conv_id, length, body, count(*) as n_copies from prefixes where length = n group by length, body)
 select conv_id, length::INTEGER as n_turns, n_copies, body as text from whole w
 where not exists (select 1 from prefixes p where p.length < p.n and p.length = w.length and p.body = w.body)""",
