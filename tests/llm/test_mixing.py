@@ -95,3 +95,17 @@ def test_a_small_source_meets_its_target_beside_a_large_one(spark, monkeypatch,
     for source in "ab":
         mine = [r for r in got if r["source"] == source]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 64
+
+
+def test_columns_of_any_name_pass_through_the_mix(spark):
+    docs = spark.createDataFrame([(k, f"w{k} " * 300, "en", "ab"[k % 2], 900) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("target", "source_size", "size", "taken", "runs", "_run", "_row", "_mark", "_source", "_text", "quota", "a.b")
+    wide = docs
+    for name in names:
+        wide = wide.withColumn(name, F.lit(name))
+    plain, got = mixing.mixed_documents(docs).collect(), mixing.mixed_documents(wide)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert all(r[n] == n for r in rows for n in names)
+    key = lambda r: (r["doc_id"], r["text"], r["n_chars"])
+    assert sorted(map(key, rows)) == sorted(map(key, plain)) and rows

@@ -86,7 +86,8 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     ``runs`` lists (from, to) word ranges of the document, one for each time a run of chosen blocks
     meets it; ``taken`` is their length and never above ``epochs`` x size. A null source is a source
     of its own; a null or empty text has size 0 and takes nothing. Rows that repeat a doc_id are
-    laid out as rows of their own; equal rows are interchangeable. Extra columns are kept.
+    laid out as rows of their own; equal rows are interchangeable. Extra columns are kept, if their names
+    are not those of the result; ``mixed_documents`` packs a caller's columns so that no name clashes.
     """
     spark = sizes.sparkSession
     keyed = sizes.withColumns({"_named": F.col("source").isNotNull(), "_source": F.coalesce("source", F.lit(""))})
@@ -133,13 +134,17 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix as documents: a row for each run taken; a part of a text is its words joined by one space."""
+    """The mix as documents: a row for each run taken; a part of a text is its words joined by one space.
+
+    Columns of any name are carried unchanged but for text and n_chars.
+    """
     columns = docs.columns
-    m = mix(sized(docs), **settings).withColumn("_run", F.explode("runs"))
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("_row"))
+    m = mix(sized(packed), **settings).withColumn("_run", F.explode("runs"))
     whole = (F.col("_run.from") == 0) & (F.col("_run.to") == F.col("size"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     part = F.array_join(F.slice(words, (F.col("_run.from") + 1).cast("int"), (F.col("_run.to") - F.col("_run.from")).cast("int")), " ")
-    m = m.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in columns:
-        m = m.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return m.select(*columns)
+    m = m.withColumn("_text", F.when(whole, F.col("text")).otherwise(part)).withColumn("_whole", whole)
+    given = lambda c: F.col("_row").getField(c)
+    made = {"text": F.col("_text"), "n_chars": F.when(F.col("_whole"), given("n_chars")).otherwise(F.length("_text")).cast("long")}
+    return m.select(*[(made[c] if c in made else given(c)).alias(c) for c in columns])
