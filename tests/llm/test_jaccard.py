@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm.jaccard_dedup import shingle_set, similar_pairs
@@ -73,6 +74,27 @@ def test_stage_drops_copies_beyond_three_bits(spark):
     first = {d: simhash(shingle_hashes(t.encode(), 5)) for d, t in extra if t}
     assert sum(bin(first[5_001] ^ f).count("1") > 3 for f in first.values()) > 100
     both = docs.unionByName(spark.createDataFrame([(d, t, "en", "s", 0) for d, t in extra], COLUMNS))
-    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, both, FOLDER).collect()}
-    group = brute_components([(r["doc_id"], r["text"]) for r in both.collect()])
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, both, FOLDER).collect()}
+    # Of the two texts of 6003 one is a copy of 6002 and the other a document of its own.
+    assert (6_003, "two") in left and (6_003, "ONE") not in left
+    left = {d for d, t in left if (d, t) != (6_003, "two")}
+    group = brute_components([(r["doc_id"], r["text"]) for r in both.collect() if r["text"] != "two"])
     assert left <= {None} | {d for d, c in group.items() if d == c}
+
+
+def test_texts_that_share_a_doc_id_are_judged_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(80)) for k in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " end"), (3, a + " end"), (4, c), (4, c), (5, c + " end"), (5, "other words"), (None, c), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], COLUMNS)
+    for name in ("_key", "_mark", "_low", "_rank", "component", "first", "id", "node", "_row"):
+        docs = docs.withColumn(name, F.lit(name))
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert left.columns == docs.columns and all(r["_key"] == "_key" and r["_row"] == "_row" for r in left.collect())
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (4, c), (5, "other words"), (None, c), (None, None)], key=str)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), FOLDER).collect() == []
+
+
+def test_a_long_chain_settles(spark):
+    pairs = spark.range(3_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["component"] for r in components(spark, pairs).collect()} == {0}

@@ -58,6 +58,27 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Stored tables of one job by name, emptied when nothing reads them any more; a new table takes the place of the old."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.free(name)
+        self.held[name] = path, df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self, *names: str) -> None:
+        """Drop the files of tables; no plan that is still to run may read them."""
+        for name in names:
+            if name in self.held:
+                path, schema = self.held.pop(name)
+                self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 SAMPLE_RANGE = 1 << 30
 
 

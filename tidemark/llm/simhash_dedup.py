@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import LOWER_ASCII, by_size, ship, stored, text_bytes
+from tidemark.llm.common import LOWER_ASCII, Shelf, by_size, ship, stored, text_bytes
 
 BITS = 64
 HASH_SEED = 42  # seed of the shingle hash, fixed by the contract
@@ -92,17 +92,17 @@ def near_pairs(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(spark: SparkSession, pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``pairs``, for every id in a pair.
 
     Alternating large-star and small-star steps: links are moved to ever smaller neighbours until
-    they are stars. Links stay distributed; each round is stored in the shared folder and only
-    its two checksums reach the driver.
+    they are stars, however many rounds that takes. Links stay distributed; each round is stored in the shared
+    folder, where the round before it goes, and only its checksums reach the driver.
     """
     edges = pairs.select("a", "b").filter("a <> b")
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    before = None
-    for _ in range(rounds):
+    before, held = None, Shelf(spark)
+    while True:
         arcs = both(edges)
         low = arcs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = arcs.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
@@ -110,14 +110,12 @@ def components(spark: SparkSession, pairs: DataFrame, rounds: int = 60) -> DataF
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(low, "a")
         small = joined.select("m", F.col("b").alias("x")).union(low.select("m", F.col("a").alias("x"))).filter("m <> x")
-        edges = stored(spark, small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "stars")
+        edges = held.put(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "stars")
         mark = F.xxhash64("a", "b")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(mark), F.sum(F.shiftright(mark, 20))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     stars = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return stars.union(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
