@@ -9,8 +9,9 @@ from tidemark.config import ExampleConfig, FeatureConfig, Span, TableSpec, Timel
 from tidemark.functions import scalars as S
 from tidemark.functions.time import to_ts
 from tidemark.operators import examples as E, features as FE, labels as L, stats as ST, timeline as TL
+from tidemark.operators.distributed import range_rank
 from tidemark.sources.materialise import materialise
-from tidemark.sources.tables import scan_event_table, scan_subjects, scan_targets
+from tidemark.sources.tables import read_targets, scan_event_table, scan_subjects, scan_targets
 
 SPEC = TimelineSpec(Span(5), "ENC", ("ENC", "COND"), ("COND",), "COND")
 
@@ -199,3 +200,29 @@ def test_changed_configuration_or_subjects_refit_a_fold(spark):
     few, more = spark.range(10).withColumnRenamed("id", "subject_id"), spark.range(11).withColumnRenamed("id", "subject_id")
     assert fold_key(few, "a") == fold_key(few.repartition(3), "a")
     assert len({fold_key(few, "a"), fold_key(few, "b"), fold_key(more, "a")}) == 3
+
+
+def test_targets_of_many_files_keep_file_order(spark, tmp_path):
+    """Several files and blocks: positions follow the files by name and their lines, whatever task reads them."""
+    lines = [f"c{(i * 7919) % 10_007}" for i in range(900)]
+    for i in range(3):
+        (tmp_path / f"part-{i}.csv").write_text("CODE,DESCRIPTION\n" + "".join(f"{c},d\n" for c in lines[i * 300:(i + 1) * 300]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = read_targets(spark, str(tmp_path)).orderBy("position")
+        assert [r["code"] for r in got.collect()] == lines
+        assert dict(got.dtypes)["position"] == "bigint"
+        assert [r["position"] for r in got.select("position").collect()] == list(range(900))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "part-2.csv").write_text("CODE,DESCRIPTION\nc0,d\n")
+    with pytest.raises(ValueError, match="repeat"):
+        read_targets(spark, str(tmp_path))
+
+
+def test_rank_of_all_rows_without_a_group(spark):
+    rows = spark.range(1_000, numPartitions=7).withColumn("k", F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), F.hash("id").cast("string"))))
+    got = {r["id"]: r["rank"] for r in range_rank(rows, [], ["k", "id"]).collect()}
+    expected = [r["id"] for r in sorted(rows.collect(), key=lambda r: (r["k"] is not None, r["k"] or "", r["id"]))]
+    assert [got[i] for i in expected] == list(range(1_000))
+    assert range_rank(rows.limit(0), [], ["k", "id"]).collect() == []

@@ -139,7 +139,7 @@ def range_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str
 
     Rows are dealt in ranges of (by, order) and stored; places inside a range are counted as the sorted rows stream by, and
     only the rows of each group in each range are summed up, of which there are as many as groups and ranges together.
-    Rows that are equal in all of ``order`` get different places. No column of ``by`` is null.
+    Rows that are equal in all of ``order`` get different places. No column of ``by`` is null; with none, all rows are one group.
     """
     by = list(by)
     ship(df.sparkSession)

@@ -11,7 +11,7 @@ from tidemark.config import SequenceConfig
 from tidemark.functions.scalars import bin_of
 from tidemark.functions.time import days_between
 from tidemark.operators import stats
-from tidemark.operators.distributed import exact_quantiles, hash_rank
+from tidemark.operators.distributed import exact_quantiles, hash_rank, range_rank
 from tidemark.operators.segments import place_cutoffs, place_events
 
 # Reserved tokens and reason ids.
@@ -63,7 +63,7 @@ def reason_vocab(events: DataFrame, scope: DataFrame, cfg: SequenceConfig) -> Da
     seen = stats.scope_events(events, scope).filter(F.col("reason").isNotNull())
     kept = (seen.groupBy("reason").agg(F.countDistinct("subject_id").alias("n_subjects"))
             .filter(F.col("n_subjects") >= cfg.min_subjects))
-    return kept.select("reason", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("reason")) + 1).alias("id"))
+    return range_rank(kept.select("reason"), [], ["reason"]).select("reason", (F.col("rank") + 2).cast("int").alias("id"))
 
 
 def text_answer_tokens(events: DataFrame, answers: DataFrame, scope: DataFrame, cfg: SequenceConfig) -> DataFrame:
@@ -85,7 +85,7 @@ def build_vocab(events: DataFrame, cohort: DataFrame, scope: DataFrame, cfg: Seq
                 demographics: Sequence[str], answers: DataFrame | None = None) -> Vocabulary:
     """Ids in section order: specials, unknowns, demographics, shared bins, tokens, answers, mask last.
 
-    The id window runs over the fitted vocabulary, not over data.
+    Free-text answers make the vocabulary grow with the data, so ids are counted over ranges of names.
     """
     spark = events.sparkSession
     fixed = [(0, i, 0, t) for i, t in enumerate((PAD, BOS, ANCHOR))]
@@ -109,9 +109,9 @@ def build_vocab(events: DataFrame, cohort: DataFrame, scope: DataFrame, cfg: Seq
                                              F.col("pair").alias("token"), F.col("pair").alias("base")))
     for part in parts:
         body = body.unionByName(part.withColumn("base", F.col("token")))
-    order = W.partitionBy(F.lit(0)).orderBy("section", "major", "base", "minor")
     # Sections with a fixed order carry it in ``major``; the others sort by name, bins by number.
-    tokens = body.select("token", (F.row_number().over(order) - 1).alias("id"))
+    order = ["section", "major", "base", "minor"]
+    tokens = range_rank(body.select(*order, "token"), [], order).select("token", F.col("rank").cast("int").alias("id"))
     return Vocabulary(tokens, edges, reason_vocab(events, scope, cfg))
 
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import FeatureConfig
-from tidemark.operators.distributed import exact_quantiles
+from tidemark.operators.distributed import exact_quantiles, range_rank
 
 
 def scope_violations(scope: DataFrame, cohort: DataFrame, split: str = "train") -> DataFrame:
@@ -138,9 +138,6 @@ def apply_scaling(features: DataFrame, scaling: DataFrame, log1p: bool = True) -
 
 
 def rank_features(features: DataFrame) -> DataFrame:
-    """Dense 0-based index of the distinct features in (block, feature) order.
-
-    One row per feature: its size is that of the fitted vocabularies, not of the data.
-    """
+    """Dense 0-based index of the distinct features in (block, feature) order, numbered over ranges of names."""
     names = features.select("block", "feature").distinct()
-    return names.withColumn("index", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("block", "feature")) - 1)
+    return range_rank(names, [], ["block", "feature"]).select("block", "feature", F.col("rank").cast("int").alias("index"))

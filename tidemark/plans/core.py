@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import FeatureConfig, Span
 from tidemark.functions import scalars as S, time as TM
@@ -174,12 +175,12 @@ def _(spark, folder):
 
 
 @query("S5_read_targets", """
-    select (row_number() over (order by p_partkey) - 1)::int as position, p_partkey::varchar code, p_brand description from part""")
+    select (row_number() over (order by p_partkey) - 1)::bigint as position, p_partkey::varchar code, p_brand description from part""")
 def _(spark, folder):
-    """Every part as a target code, written to one CSV file in key order and read in file order."""
+    """Every part as a target code, written to CSV files in key order, a range each, and read in file order."""
     path = f"{checkpoint_dir(spark)}/tidemark/targets-{uuid.uuid4().hex}"
     part = Driver(spark, folder).table("part").select(F.col("p_partkey").alias("CODE"), F.col("p_brand").alias("DESCRIPTION"))
-    part.coalesce(1).sortWithinPartitions("CODE").write.option("header", True).csv(path)
+    part.repartitionByRange(8, "CODE").sortWithinPartitions("CODE").write.option("header", True).csv(path)
     return read_targets(spark, path)
 
 
@@ -191,6 +192,31 @@ def _(spark, folder):
     return scan_anchors(raw).withColumn("given_anchor", F.col("given_anchor").cast("string"))
 
 
+@query("S9_load_cohort", wf("""
+    select 'cohort' part, count(*) n, count(distinct subject_id) n_subjects, true same_rows, true same_files from a_cohort
+    union all select 'events', count(*), count(distinct subject_id), true, true from a_events
+    union all select 'examples', count(*), count(distinct subject_id), true, true from a_rolling
+    union all select 'labels', count(*), count(distinct subject_id), true, true from a_rolling_labels"""))
+def _(spark, folder):
+    """The four entry points, and again from a session that shares nothing but the stored tables: the same rows from the same files."""
+
+    def facts(timeline):
+        rows = []
+        for part in timeline.ENTRY_POINTS:
+            df = timeline.load(part)
+            mix = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("mix")
+            files = F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("_metadata.file_path"))), " "), 256).alias("files")
+            rows.append(df.select("*", "_metadata").agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"),
+                                                         F.countDistinct("subject_id").alias("n_subjects"), mix, files))
+        return reduce(DataFrame.unionByName, rows)
+
+    found = facts(Purchases(spark, folder))
+    seen = facts(Purchases(spark.newSession(), folder)).collect()  # a row for each of the four
+    seen = spark.createDataFrame([(r["part"], r["mix"], r["files"]) for r in seen], "part string, mix2 string, files2 string")
+    return found.join(seen, "part").select("part", "n", "n_subjects", F.col("mix").eqNullSafe(F.col("mix2")).alias("same_rows"),
+                                           (F.col("files") == F.col("files2")).alias("same_files"))
+
+
 @query("S10_config_tag", wf("""
     select 'one' config, count(*) n from b_raw where kind = 'click' union all
     select 'two', count(*) from b_raw where kind in ('click', 'view') union all

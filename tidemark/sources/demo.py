@@ -48,6 +48,8 @@ class Timeline:
     feature_cfg: FeatureConfig
     sequence_cfg: SequenceConfig
 
+    ENTRY_POINTS = {"cohort": "cohort", "events": "events", "examples": "rolling", "labels": "rolling_labels"}
+
     name: str
     inputs: tuple[str, ...]
     # Where stored tables live; by default below the shared checkpoint folder.
@@ -160,7 +162,11 @@ class Timeline:
 
     @cached_property
     def rolling_labels(self) -> DataFrame:
-        return L.label_pairs(self.rolling, self.first, self.targets)
+        return self.stored("labels", lambda: L.label_pairs(self.rolling, self.first, self.targets))
+
+    def load(self, part: str) -> DataFrame:
+        """One of ``ENTRY_POINTS``: read where it is stored for these inputs, configuration and code, else built and stored."""
+        return getattr(self, self.ENTRY_POINTS[part])
 
     @cached_property
     def target_tokens(self) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.config import TableSpec
 from tidemark.functions import scalars as S
 from tidemark.functions.time import to_ts
+from tidemark.operators.distributed import range_rank
 
 # The only subject columns that may be used, and those that must never be.
 ALLOWED_SUBJECT_COLUMNS = ("Id", "BIRTHDATE", "MARITAL", "RACE", "ETHNICITY", "GENDER")
@@ -129,14 +130,20 @@ def scan_targets(spark: SparkSession, codes: Sequence[str], descriptions: Sequen
         raise ValueError("no target codes")
     texts = list(descriptions) if descriptions else [None] * len(codes)
     rows = [(i, c, t) for i, (c, t) in enumerate(zip(codes, texts, strict=True))]
-    return spark.createDataFrame(rows, "position int, code string, description string")
+    return spark.createDataFrame(rows, "position bigint, code string, description string")
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """Targets from a CSV file (CODE, DESCRIPTION), codes as text in file order; they stay a table."""
-    rows = read_text_table(spark, path, ["CODE", "DESCRIPTION"]).withColumn("_at", F.monotonically_increasing_id())
-    out = rows.select((F.row_number().over(W.orderBy("_at")) - 1).alias("position"), F.col("CODE").alias("code"),
-                      F.col("DESCRIPTION").alias("description"))
+    """Targets from a CSV file or a folder of them (CODE, DESCRIPTION), codes as text in file order; they stay a table.
+
+    ``position`` (long) counts the rows of the files by name. A row's place is its file, the start of its block and its order
+    in that block; ranges of places are counted one by one, so files of any size and number are numbered without one sort of all.
+    """
+    rows = read_text_table(spark, path, ["CODE", "DESCRIPTION"]).select(
+        "CODE", "DESCRIPTION", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"))
+    out = range_rank(rows, [], ["_file", "_block", "_at"], "position").select(
+        "position", F.col("CODE").alias("code"), F.col("DESCRIPTION").alias("description"))
     if not out.take(1):
         raise ValueError("no target codes")
     if out.groupBy("code").count().filter("count > 1").take(1):
