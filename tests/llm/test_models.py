@@ -215,6 +215,27 @@ def test_context_reaches_both_ways():
     assert net.label([a])[0][0] != net.label([b])[0][0]
 
 
+def test_every_word_and_path_name_counts():
+    """Blocks that differ only late in a long text, or high in a deep path, are told apart."""
+    long = "same " * 5_000
+    a, b = H.blocks_of(f"<p>{long}one</p><p>{long}two</p>")
+    assert (H.features([a]) != H.features([b])).any()
+    deep = "<div>" * 9 + "<p>x</p>" + "</div>" * 9
+    (a,), (b,) = H.blocks_of(f"<table><tr><td>{deep}</td></tr></table>"), H.blocks_of(f"<section><div><div>{deep}</div></div></section>")
+    assert (H.features([a], hide=True)[:, :H.DIMENSIONS] != H.features([b], hide=True)[:, :H.DIMENSIONS]).any()
+
+
+def test_very_long_pages_in_parts(monkeypatch):
+    """A page of many blocks is labelled alike in parts, and without feature rows for all of it."""
+    page = H.blocks_of("".join(f"<p>block {i} says {'much ' * (i % 9)}</p><nav>go {i}</nav>" for i in range(300)))
+    net = H.BlockLabeller()
+    whole = net.label([page, page[:7]])
+    monkeypatch.setattr(H, "BLOCKS_AT_ONCE", 64)
+    for a, b in zip(whole, net.label([page, page[:7]])):
+        assert abs(a - b).max() < 1e-4
+    assert net.label([[], page[:1]])[0].shape == (0,)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -243,4 +264,4 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -16,6 +16,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 DIMENSIONS = 512
 MEASURES = 8
-BLOCKS_AT_ONCE = 8_192  # bounds the arrays of a task; a longer page runs alone
+# Bounds the feature rows of a task. A longer page runs alone; it holds only the 16 hidden values and 64 gate inputs of each block and side.
+BLOCKS_AT_ONCE = 8_192
 
 
 @dataclass
@@ -149,26 +151,31 @@ def is_boilerplate(block: Block) -> bool:
     return bool(block.names & BOILERPLATE)
 
 
+@lru_cache(maxsize=1 << 16)
 def _slot(kind: str, word: str) -> int:
     return zlib.crc32(f"{kind}:{word}".encode()) % DIMENSIONS
 
 
-def features(blocks: list[Block], hide: bool = False) -> np.ndarray:
-    """A row per block: hashed tag path, names and words, and plain measures. ``hide`` leaves out the telling names."""
+def features(blocks: list[Block], hide: bool = False, first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row per block: hashed tag path, names and words, and plain measures. ``hide`` leaves out the telling names.
+
+    Every name of the path and every word of the text counts, scaled by the square root of how many there are. The blocks
+    may be part of a page of ``total`` blocks, from block ``first``.
+    """
     x = np.zeros((len(blocks), DIMENSIONS + MEASURES), np.float32)
-    total = len(blocks)
+    total = total or len(blocks)
     for i, b in enumerate(blocks):
         path = [t for t in b.path if not hide or t not in BOILERPLATE | CONTENT]
-        for t in path[-4:]:
-            x[i, _slot("path", t)] += 1
+        for t in path:
+            x[i, _slot("path", t)] += 2 / math.sqrt(len(path))
         for n in b.names:
             if not hide or n not in BOILERPLATE | CONTENT:
                 x[i, _slot("name", n)] += 1
-        words = _WORDS.findall(b.text[:400].lower())[:20]
-        for w in words:
-            x[i, _slot("word", w)] += 1 / math.sqrt(len(words)) / 4
+        words = [_slot("word", w) for w in _WORDS.findall(b.text.lower())]
+        if words:
+            x[i, :DIMENSIONS] += np.bincount(words, minlength=DIMENSIONS) / (4 * math.sqrt(len(words)))
         marks = sum(b.text.count(c) for c in ".,;:!?")
-        x[i, DIMENSIONS:] = (math.log1p(len(b.text)) / 6, b.linked, min(1, marks / 8), i / max(1, total - 1), min(1, len(b.path) / 8),
+        x[i, DIMENSIONS:] = (math.log1p(len(b.text)) / 6, b.linked, min(1, marks / 8), (first + i) / max(1, total - 1), min(1, len(b.path) / 8),
                              any(t in ("h1", "h2", "h3", "h4") for t in b.path[-1:]), "p" in b.path, "li" in b.path)
     return x
 
@@ -187,11 +194,10 @@ class BlockLabeller:
         self.p["V"] = (rng.standard_normal((2 * hidden, 1)) * 0.1).astype(np.float32)
         self.p["b"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """Hidden states of (pages, blocks, features), and what the backward pass needs."""
-        n, steps, _ = x.shape
+    def _run(self, drive: np.ndarray, side: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden states of (pages, blocks, gate inputs), and what the backward pass needs."""
+        n, steps, _ = drive.shape
         h = c = np.zeros((n, self.hidden), np.float32)
-        drive = x @ self.p[f"W{side}"] + self.p[f"c{side}"]
         out, kept = np.empty((n, steps, self.hidden), np.float32), []
         k = self.hidden
         for t in range(steps):
@@ -200,7 +206,8 @@ class BlockLabeller:
             before, c_before = h, c
             c = f * c + i * g
             h = o * np.tanh(c)
-            kept.append((before, c_before, i, f, o, g, c))
+            if keep:
+                kept.append((before, c_before, i, f, o, g, c))
             out[:, t] = h
         return out, kept
 
@@ -222,19 +229,37 @@ class BlockLabeller:
 
     def _logits(self, x: np.ndarray, lengths: np.ndarray):
         back = _reverse(x, lengths)
-        hf, kf = self._run(x, "f")
-        hb, kb = self._run(back, "b")
+        hf, kf = self._run(self._drive(x, "f"), "f")
+        hb, kb = self._run(self._drive(back, "b"), "b")
         h = np.concatenate([hf, _reverse(hb, lengths)], axis=2)
         return (h @ self.p["V"])[..., 0] + self.p["b"], (back, kf, kb, h)
 
+    def _drive(self, x: np.ndarray, side: str) -> np.ndarray:
+        return x @ self.p[f"W{side}"] + self.p[f"c{side}"]
+
+    def _drives(self, page: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+        """Gate inputs of a page for both sides; feature rows exist for ``BLOCKS_AT_ONCE`` blocks at a time."""
+        forth, back = (np.empty((len(page), 4 * self.hidden), np.float32) for _ in range(2))
+        for a in range(0, len(page), BLOCKS_AT_ONCE):
+            x = features(page[a:a + BLOCKS_AT_ONCE], first=a, total=len(page))
+            forth[a:a + len(x)], back[a:a + len(x)] = self._drive(x, "f"), self._drive(x, "b")
+        return forth, back
+
     def fit(self, pages: list[list[Block]], steps: int = 240, batch: int = 24, rate: float = 0.01, seed: int = 5) -> BlockLabeller:
         """Adam on binary cross-entropy; a quarter of the examples hide the names that gave the labels."""
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        known: dict[tuple[int, bool], np.ndarray] = {}
+
+        def seen(i: int, hide: bool) -> np.ndarray:
+            if (i, hide) not in known:
+                known[i, hide] = features(pages[i], hide)
+            return known[i, hide]
+
         for step in range(1, steps + 1):
-            chosen = [pages[i] for i in rng.integers(0, len(pages), batch)]
-            x, lengths = _padded([features(p, hide=rng.random() < 0.25) for p in chosen])
-            y, _ = _padded([np.array([[float(not is_boilerplate(b))] for b in p], np.float32) for p in chosen])
+            chosen = rng.integers(0, len(pages), batch).tolist()
+            x, lengths = _padded([seen(i, bool(rng.random() < 0.25)) for i in chosen])
+            y, _ = _padded([np.array([[float(not is_boilerplate(b))] for b in pages[i]], np.float32) for i in chosen])
             mask = np.arange(x.shape[1]) < lengths[:, None]
             logits, (back, kf, kb, h) = self._logits(x, lengths)
             d = ((_sigmoid(logits) - y[..., 0]) * mask / mask.sum()).astype(np.float32)
@@ -257,8 +282,10 @@ class BlockLabeller:
         while order:
             n = max(1, BLOCKS_AT_ONCE // len(pages[order[-1]]))
             part, order = order[-n:], order[:-n]
-            x, lengths = _padded([features(pages[i]) for i in part])
-            logits, _ = self._logits(x, lengths)
+            forth, back = zip(*(self._drives(pages[i]) for i in part))
+            (forth, lengths), (back, _) = _padded(list(forth)), _padded(list(back))
+            h = np.concatenate([self._run(forth, "f", keep=False)[0], _reverse(self._run(_reverse(back, lengths), "b", keep=False)[0], lengths)], axis=2)
+            logits = (h @ self.p["V"])[..., 0] + self.p["b"]
             for row, i in enumerate(part):
                 out[i] = _sigmoid(logits[row, : lengths[row]])
         return out
