@@ -92,6 +92,32 @@ def test_groups_are_maximal_and_complete(spark):
     assert any(len(places) == 3 and (0, texts[0].index(r)) in places for places in groups.values())
 
 
+def test_crowded_anchors_lose_no_start(spark, monkeypatch):
+    """Every place of 40 passages stands in a group, and the place where it starts is one, however many contexts a task may hold."""
+    rng = random.Random(21)
+    noise = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    passages = [noise(rng.randint(205, 478)) for _ in range(40)]
+    texts, places = [], set()
+    for p in passages:
+        for k in range(6):
+            # The bytes before a passage are equal in some documents and differ in others.
+            head = noise(rng.randint(20, 60)) + "xxyzwy"[k]
+            places.add((len(texts), len(head)))
+            texts.append(head + p + noise(30))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)
+    for rows in (1_024, 2):
+        monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", rows)
+        groups = defaultdict(set)
+        for g in RepeatIndex(spark, docs).groups().collect():
+            groups[g["anchor"], g["low"], g["high"], g["depth"]].add((g["doc_id"], g["start"]))
+        assert places <= set().union(*groups.values()), rows
+        for (*_, depth), members in groups.items():
+            assert len({texts[d][i:i + depth] for d, i in members}) == 1 and len(members) > 1
+        # Those that start a passage are together with its five other copies.
+        assert all(any(m >= {(6 * (d // 6) + k, places_of[6 * (d // 6) + k]) for k in range(6)} for m in groups.values())
+                   for places_of in [dict(places)] for d, _ in places), rows
+
+
 def test_interval_tree_lists_every_interval():
     rng = random.Random(1)
     for _ in range(50):

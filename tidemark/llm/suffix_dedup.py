@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import by_size, ship, stored, text_bytes
+from tidemark.llm.common import Shelf, by_size, ship, stored, text_bytes
 
 LENGTH = 200  # bytes of the shortest repeat
 GRAM = 32  # bytes of an anchor
@@ -109,7 +109,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                      pa.array(size.astype(np.int16)), pa.array(h), pa.array(c)],
                     ["d", "mark", "before", "start", "size", "anchor", "context"])
 
-    return docs.mapInArrow(run, "d long, mark int, before short, start int, size short, anchor long, context long")
+    return docs.mapInArrow(run, "d long, mark long, before short, start int, size short, anchor long, context long")
 
 
 def interval_tree(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -264,7 +264,8 @@ def _parts(before: int, size: int, length: int) -> Iterator[tuple[int, int, int]
 def _part_rows(contexts: DataFrame, length: int) -> DataFrame:
     """A row for each part of the contexts of crowded anchors.
 
-    ``core`` hashes the bytes that all stretches of the part share, ``sub`` all bytes that they reach.
+    ``core`` hashes the bytes that all stretches of the part share, ``sub`` all bytes that they reach; ``left`` is the byte
+    before those, 256 at a context's edge.
     """
 
     def run(batches):
@@ -274,20 +275,22 @@ def _part_rows(contexts: DataFrame, length: int) -> DataFrame:
                 for part, low, high in _parts(before, len(body), length):
                     core = xxhash.xxh3_64_intdigest(body[before - part * PART:before - min(part * PART + PART - 1, length - GRAM) + length])
                     sub = xxhash.xxh3_64_intdigest(body[before - high:before - low + length], (low << 16) + high)
-                    rows.append((anchor, part, core - (1 << 63), sub - (1 << 63), context, before, low, high, many))
+                    left = body[before - high - 1] if before > high else 256
+                    rows.append((anchor, part, core - (1 << 63), sub - (1 << 63), context, before, low, high, many, left))
             if rows:
-                kinds = [pa.int64(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int16(), pa.bool_()]
+                kinds = [pa.int64(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int16(), pa.bool_(), pa.int16()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                                 ["anchor", "part", "core", "sub", "context", "before", "low", "high", "many"])
+                                                 ["anchor", "part", "core", "sub", "context", "before", "low", "high", "many", "left"])
 
-    schema = "anchor long, part short, core long, sub long, context long, before short, low short, high short, many boolean"
+    schema = "anchor long, part short, core long, sub long, context long, before short, low short, high short, many boolean, left short"
     return contexts.select("anchor", "context", "before", "many", "body").mapInArrow(run, schema)
 
 
 def _stretch_rows(bodies: DataFrame, length: int) -> DataFrame:
-    """(anchor, k1, k2, context, part, away, many, left) of every stretch of the given parts of contexts.
+    """(anchor, k1, k2, context, part, away, many, l, r) of every stretch of the given parts of contexts.
 
-    ``away`` is the distance to the anchor, so equal rows but for the context are different places.
+    ``away`` is the distance to the anchor, so equal rows but for the context are different places. ``l`` and ``r`` are the
+    smallest and largest byte before the stretch in all contexts that share its part; only a part's first stretch can have several.
     """
 
     def run(batches):
@@ -296,19 +299,21 @@ def _stretch_rows(bodies: DataFrame, length: int) -> DataFrame:
             for a, b in by_size([len(x) for x in body], 1 << 18):
                 owner, offset, x, y, left = stretch_classes(body[a:b], before[a:b], length)
                 away = np.array(before[a:b], np.int64)[owner] - offset
-                table = np.zeros((b - a, (length - GRAM) // PART + 1), np.int8)  # 0: not wanted, 1: one place, 2: many
+                table = np.zeros((3, b - a, (length - GRAM) // PART + 1), np.int16)  # 0: not wanted, 1: one place, 2: many; l; r
                 for i, parts in enumerate(wanted[a:b]):
                     for w in parts:
-                        table[i, w["part"]] = 1 + w["many"]
-                state = table[owner, away // PART]
+                        table[:, i, w["part"]] = 1 + w["many"], w["l"], w["r"]
+                state, l, r = table[:, owner, away // PART]
+                opens = away == np.minimum(np.array(before[a:b], np.int64)[owner], away // PART * PART + PART - 1)
+                l, r = np.where(opens, l, left), np.where(opens, r, left)
                 k = np.flatnonzero(state)
                 take = lambda v: pa.array(np.array(v[a:b], np.int64)[owner[k]])
                 yield pa.RecordBatch.from_arrays(
                     [take(anchor), pa.array(x[k].view(np.int64)), pa.array(y[k].view(np.int64)), take(context), pa.array((away[k] // PART).astype(np.int16)),
-                     pa.array(away[k].astype(np.int16)), pa.array(state[k] > 1), pa.array(left[k].astype(np.int16))],
-                    ["anchor", "k1", "k2", "context", "part", "away", "many", "left"])
+                     pa.array(away[k].astype(np.int16)), pa.array(state[k] > 1), pa.array(l[k].astype(np.int16)), pa.array(r[k].astype(np.int16))],
+                    ["anchor", "k1", "k2", "context", "part", "away", "many", "l", "r"])
 
-    schema = "anchor long, k1 long, k2 long, context long, part short, away short, many boolean, left short"
+    schema = "anchor long, k1 long, k2 long, context long, part short, away short, many boolean, l short, r short"
     return bodies.select("anchor", "context", "before", "wanted", "body").mapInArrow(run, schema)
 
 
@@ -324,17 +329,19 @@ class RepeatIndex:
         ship(spark)
         self.length = length
         self.docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns(
-            {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "mark": F.hash("text")})
-        found = stored(spark, _anchor_rows(self.docs.select("d", "mark", "text"), length), "anchors")
-        twice = stored(spark, found.groupBy("anchor").count().filter("count > 1").select("anchor"), "twice")
+            {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "mark": F.xxhash64("text")})
+        shelf = Shelf(spark)
+        found = shelf.put(_anchor_rows(self.docs.select("d", "mark", "text"), length), "anchors")
+        twice = shelf.put(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "twice")
         self.places = stored(spark, found.join(twice, "anchor"), "places")
+        shelf.free("anchors", "twice")
         at = F.struct("d", "mark", "start", "size")
         # Equal grams of one text may have the same context; repeated rows have the same gram at the same place.
         many = (F.min(at) != F.max(at)) | (F.count(F.lit(1)) > F.size(F.collect_set("before")))
         contexts = self.places.groupBy("anchor", "context").agg(F.min(at).alias("at"), F.max("before").alias("before"), many.alias("many"))
-        contexts = stored(spark, contexts, "contexts")
-        self.whole = contexts.filter("many").select("anchor", "context", F.col("at.size").cast("int").alias("size"))
-        crowd = stored(spark, contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowd")
+        contexts = shelf.put(contexts, "contexts")
+        self.whole = stored(spark, contexts.filter("many").select("anchor", "context", F.col("at.size").cast("int").alias("size")), "whole")
+        crowd = shelf.put(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowd")
         several = contexts.join(crowd, "anchor")
         wanted = several.groupBy("at.d", "at.mark").agg(F.collect_list(F.struct(
             "anchor", "context", "n", "many", F.xxhash64("at.d", "at.mark").alias("doc"), "at.start", "at.size", "before")).alias("cuts"))
@@ -345,28 +352,34 @@ class RepeatIndex:
             F.substring(body, c["start"].cast("int") + 1, c["size"].cast("int")).alias("body")))
         # Rows that repeat both doc_id and text cut their contexts twice; those occur many times anyway.
         texts = self.docs.select("d", "mark", "text").join(wanted, ["d", "mark"]).select(F.inline(cut))
-        bodies = stored(spark, texts, "bodies")
+        bodies = shelf.put(texts, "bodies")
+        shelf.free("contexts", "crowd")
         self.trees = stored(spark, _trees(bodies.filter(F.col("n") <= GROUP_ROWS), length), "trees")
-        self._split_crowds(spark, bodies.filter(F.col("n") > GROUP_ROWS))
+        self._split_crowds(spark, shelf, bodies.filter(F.col("n") > GROUP_ROWS))
+        shelf.free("bodies")
 
-    def _split_crowds(self, spark: SparkSession, bodies: DataFrame) -> None:
+    def _split_crowds(self, spark: SparkSession, shelf: Shelf, bodies: DataFrame) -> None:
         """Repeats of anchors with very many contexts, without a task that sees a whole anchor.
 
         Stretches are taken in parts of neighbours. A part whose common core occurs once holds no repeat and goes;
-        parts that are equal become one; only the different parts left are opened into single stretches.
+        parts that are equal become one, with the range of bytes before them; only the different parts left are opened into
+        single stretches.
         """
         name = ["anchor", "part", "core"]
         twice = (F.count(F.lit(1)) > 1) | F.max("many")
-        parts = stored(spark, _part_rows(bodies, self.length), "parts")
+        parts = shelf.put(_part_rows(bodies, self.length), "parts")
         cores = parts.groupBy(*name).agg(twice.alias("twice")).filter("twice").drop("twice")
         parts = stored(spark, parts.join(cores, name), "cores")
-        subs = stored(spark, parts.groupBy(*name, "sub").agg(F.min("context").alias("context"), twice.alias("many")), "subs")
-        wanted = subs.groupBy("anchor", "context").agg(F.collect_list(F.struct("part", "many")).alias("wanted"))
+        shelf.free("parts")
+        subs = stored(spark, parts.groupBy(*name, "sub").agg(
+            F.min("context").alias("context"), twice.alias("many"), F.min("left").alias("l"), F.max("left").alias("r")), "subs")
+        wanted = subs.groupBy("anchor", "context").agg(F.collect_list(F.struct("part", "many", "l", "r")).alias("wanted"))
         key = ["anchor", "away", "k1", "k2"]
-        stretches = stored(spark, _stretch_rows(bodies.drop("many").join(wanted, ["anchor", "context"]), self.length), "stretches")
-        classes = stretches.groupBy(*key).agg(twice.alias("twice"), F.min("left").alias("l"), F.max("left").alias("r")).filter("twice")
+        stretches = shelf.put(_stretch_rows(bodies.drop("many").join(wanted, ["anchor", "context"]), self.length), "stretches")
+        classes = stretches.groupBy(*key).agg(twice.alias("twice"), F.min("l").alias("l"), F.max("r").alias("r")).filter("twice")
         self.classes = stored(spark, classes.drop("twice"), "classes")
-        repeated = stored(spark, stretches.join(self.classes, key), "repeated")
+        repeated = stored(spark, stretches.drop("l", "r").join(self.classes, key), "repeated")
+        shelf.free("stretches")
         # A stretch of a part stands in all contexts that have the part.
         owners = parts.select(*name, "sub", F.col("context").alias("owner"), "before").join(
             subs.select(*name, "sub", "context"), [*name, "sub"]).select("anchor", "part", "context", "owner", "before")
@@ -375,7 +388,7 @@ class RepeatIndex:
         full = parts.join(subs.filter("many").select(*name, "sub"), [*name, "sub"]).select(
             "anchor", "context", F.struct((F.col("before") - F.col("high")).cast("int").alias("a"),
                                           (F.col("before") - F.col("low") + self.length).cast("int").alias("b")).alias("r"))
-        at = bodies.select("anchor", "context", "before")
+        at = stored(spark, bodies.select("anchor", "context", "before"), "crowd_contexts")
         single = repeated.filter("not many").select("anchor", "context", "away").join(at, ["anchor", "context"]).select(
             "anchor", "context", F.struct((F.col("before") - F.col("away")).cast("int").alias("a"),
                                           (F.col("before") - F.col("away") + self.length).cast("int").alias("b")).alias("r"))
