@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of words, weighed by TF-IDF over hashed words. A randomised SVD of a passage
-matrix (all benchmark passages and a bounded sample of corpus passages) gives a latent space;
+Passages are windows of words, weighed by TF-IDF over hashed words. A randomised SVD of the matrix of
+all passages of the benchmark and of the corpus gives a latent space;
 its products with the sparse matrix are summed on the executors. Benchmark passages are a query set held in blocks
 of bounded size, and each block completes the space for its passages. Every window of every document that holds as many rare
 words of some item as a match must is projected and compared by cosine with the passages.
@@ -20,15 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_size, hashed_sample, ship, stored, text_bytes, vector_blocks, vector_sum
+from tidemark.llm.common import by_size, ship, stored, text_bytes, vector_blocks, vector_sum
 
 BUCKETS = 1 << 15
 HALF = 16  # words; a window is two halves, so windows overlap by half
 # Passages of a block of items, and blocks searched in one pass over the corpus; both bound what a task holds.
 QUERY_BLOCK = 512
 PASS_BLOCKS = 4
-# Least and most tasks that multiply the fitted matrix; each sends a dense matrix of a fixed size.
-FIT_TASKS = (2, 64)
+# Most tasks that multiply the fitted matrix; each sends a dense matrix of a fixed size.
+FIT_TASKS = 64
+# Halves whose words are multiplied at once.
+FIT_HALVES = 512
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -243,12 +245,27 @@ def _document_frequencies(docs: DataFrame) -> np.ndarray:
     return vector_sum(docs.select(F.col("text").cast("string")).mapInArrow(run, "block int, part binary"), BUCKETS + 1, np.int64)
 
 
-def _passages(texts: list[bytes]) -> Iterator[np.ndarray]:
-    for t in texts:
-        b = word_buckets(words_of(t))
-        for a in range(0, max(1, len(b) - HALF), HALF):
-            if len(b):
-                yield b[a:a + 2 * HALF]
+def _multiply(texts: Texts, weights: np.ndarray, scaled: np.ndarray, idf: np.ndarray, total: np.ndarray) -> None:
+    """Adds A.T @ (A @ thin) of the windows of some texts to ``total``, given the thin matrix scaled by ``idf``; both have a row of padding.
+
+    A half lies in two windows, so its words are summed once, and take what both windows give back at once.
+    """
+    n, halves, begin = len(texts.owner), texts.halves, np.flatnonzero(texts.opens)
+    second, squares = texts.second[begin], (idf * idf)[halves].sum(axis=1)
+    sums = np.empty((n + 1, scaled.shape[1]), np.float32)
+    for a in range(0, n + 1, FIT_HALVES):
+        sums[a:a + FIT_HALVES] = scaled.take(halves[a:a + FIT_HALVES], axis=0).sum(axis=1)
+    length = squares[begin] + squares[second]  # rows of A have unit length before their weight
+    found = (sums[begin] + sums[second]) * (weights[texts.owner[begin]] / np.where(length > 0, length, 1.0)).astype(np.float32)[:, None]
+    sums[:] = 0
+    sums[begin] += found
+    sums[second] += found  # each half is the second of one window at most, but for the padding, which gives nothing
+    for a in range(0, n, FIT_HALVES):
+        buckets = halves[a:min(a + FIT_HALVES, n)].ravel()
+        order = np.argsort(buckets, kind="stable")
+        held = buckets[order]
+        starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+        total[held[starts]] += np.add.reduceat(sums[a + order // HALF], starts, axis=0) * idf[held[starts]][:, None]
 
 
 def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, powers: int = 2, seed: int = 7) -> np.ndarray:
@@ -267,16 +284,15 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int =
         sent = passages.sparkSession.sparkContext.broadcast(idf.astype(np.float32)[:, None] * thin)
 
         def run(batches, sent=sent):
-            scaled, total = sent.value, np.zeros((BUCKETS, width), np.float32)
+            scaled, rare = np.append(sent.value, np.zeros((1, width), np.float32), axis=0), np.append(idf, 0.0).astype(np.float32)
+            total = np.zeros_like(scaled)
             for batch in batches:
-                for text, weight in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                    for b in _passages([text]):
-                        x = scaled.take(b, axis=0).sum(axis=0)
-                        length = (idf[b] ** 2).sum() or 1.0  # rows of A have unit length before their weight
-                        np.add.at(total, b, (weight * idf[b] / length).astype(np.float32)[:, None] * x)
-            yield vector_blocks(total)
-
-        product = vector_sum(passages.select("text", "weight").mapInArrow(run, "block int, part binary"), BUCKETS * width, np.float32)
+                texts, weights = text_bytes(batch.column(0)), batch.column(1).to_numpy()
+                for a, b in by_size([len(t) for t in texts]):
+                    _multiply(Texts(texts[a:b]), weights[a:b], scaled, rare, total)
+            yield vector_blocks(total[:BUCKETS])
+
+        product = vector_sum(passages.select("text", "weight").coalesce(FIT_TASKS).mapInArrow(run, "block int, part binary"), BUCKETS * width, np.float32)
         sent.destroy(blocking=True)
         thin, small = np.linalg.qr(product.reshape(BUCKETS, width))
         thin = thin @ np.linalg.svd(small)[0]
@@ -284,13 +300,12 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int =
 
 
 def index_passes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.4, common: float = 0.8,
-                 min_words: int = 5, sample_docs: int = 1_000, sample_chars: int = 4_000, query_weight: float = 8.0,
-                 keep: float = 0.5) -> Iterator[list[LatentIndex]]:
+                 min_words: int = 5, corpus_weight: float = 1_000.0, query_weight: float = 8.0, keep: float = 0.5) -> Iterator[list[LatentIndex]]:
     """Indexes over blocks of benchmark items, a few blocks at a time: what one pass over the corpus holds.
 
-    Document frequencies cover all documents and whole texts. The latent space is fitted on all benchmark passages
-    (weight ``query_weight``) and a bounded sample of the corpus: ``sample_docs`` documents by hash,
-    ``sample_chars`` characters of each; then each block completes it for its own passages.
+    Document frequencies and the latent space cover all documents and whole texts. Benchmark passages weigh ``query_weight`` each,
+    those of the corpus alike and together as much as ``corpus_weight`` documents, so that a large corpus does not take the whole
+    space; then each block completes it for its own passages.
     Items are streamed in order, so the driver holds those of one pass, whatever their number.
     """
     spark = docs.sparkSession
@@ -303,11 +318,8 @@ def index_passes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine:
         return
     df = _document_frequencies(docs)
     idf = np.log((1.0 + df[BUCKETS]) / (1.0 + df[:BUCKETS])) + 0.01
-    part = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).filter("text is not null")
-    sample = hashed_sample(part, ["doc_id", "text"], sample_docs, docs.count()).select("text")
-    queries = rows.filter("text is not null").select("text", F.lit(query_weight).alias("weight"))
-    tasks = min(FIT_TASKS[1], FIT_TASKS[0] + total // 2_000)
-    passages = stored(spark, queries.union(sample.select("text", F.lit(1.0))).repartition(tasks), "passages")
+    corpus = docs.select(F.col("text").cast("string").alias("text"), F.lit(corpus_weight / max(corpus_weight, float(df[BUCKETS]))).alias("weight"))
+    passages = rows.select("text", F.lit(query_weight).alias("weight")).union(corpus).filter("text is not null")
     basis = randomised_svd(passages, idf, rank)
     # An item of one window has at least one passage, so blocks of items bound the passages by their words.
     blocks, block, held = [], [], 0
