@@ -27,10 +27,10 @@ HALF = 16  # words; a window is two halves, so windows overlap by half
 # Passages of a block of items, and blocks searched in one pass over the corpus; both bound what a task holds.
 QUERY_BLOCK = 512
 PASS_BLOCKS = 4
-# Most tasks that multiply the fitted matrix; each sends a dense matrix of a fixed size.
-FIT_TASKS = 64
+# Least and most tasks that multiply the fitted matrix, and documents of a task; each sends a dense matrix of a fixed size.
+FIT_TASKS, FIT_DOCS = (2, 64), 20_000
 # Halves whose words are multiplied at once.
-FIT_HALVES = 512
+FIT_HALVES = 128
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -292,7 +292,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int =
                     _multiply(Texts(texts[a:b]), weights[a:b], scaled, rare, total)
             yield vector_blocks(total[:BUCKETS])
 
-        product = vector_sum(passages.select("text", "weight").coalesce(FIT_TASKS).mapInArrow(run, "block int, part binary"), BUCKETS * width, np.float32)
+        product = vector_sum(passages.select("text", "weight").mapInArrow(run, "block int, part binary"), BUCKETS * width, np.float32)
         sent.destroy(blocking=True)
         thin, small = np.linalg.qr(product.reshape(BUCKETS, width))
         thin = thin @ np.linalg.svd(small)[0]
@@ -320,6 +320,7 @@ def index_passes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine:
     idf = np.log((1.0 + df[BUCKETS]) / (1.0 + df[:BUCKETS])) + 0.01
     corpus = docs.select(F.col("text").cast("string").alias("text"), F.lit(corpus_weight / max(corpus_weight, float(df[BUCKETS]))).alias("weight"))
     passages = rows.select("text", F.lit(query_weight).alias("weight")).union(corpus).filter("text is not null")
+    passages = passages.coalesce(min(FIT_TASKS[1], FIT_TASKS[0] + int(df[BUCKETS]) // FIT_DOCS))
     basis = randomised_svd(passages, idf, rank)
     # An item of one window has at least one passage, so blocks of items bound the passages by their words.
     blocks, block, held = [], [], 0
