@@ -66,6 +66,36 @@ def test_logistic_of_all_codes_reaches_every_optimum(spark):
     assert [r["converged"] for r in short.report] == [False]
 
 
+def _uneven(spark, n=400):
+    """Twelve features of which some are all but equal and others a thousandth as large."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(n, 1))
+    x = np.concatenate([base + 0.02 * rng.normal(size=(n, 6)), 1e-3 * rng.normal(size=(n, 6))], axis=1)
+    y = rng.random(n) < 1 / (1 + np.exp(-2 * x[:, 0] - 800 * x[:, 7] + 1))
+    rows = spark.createDataFrame([(i, 0, list(range(12)), v.tolist()) for i, v in enumerate(x)], "subject_id int, cutoff int, at array<int>, v array<double>")
+    labels = spark.createDataFrame([(i, 0, "c0", int(t), 1) for i, t in enumerate(y)], "subject_id int, cutoff int, code string, y int, at_risk int")
+    return x, y, rows, labels
+
+
+@pytest.mark.parametrize("paired, most", [(1_024, 30), (4, 2_000)])
+def test_logistic_on_uneven_features_takes_few_passes(spark, monkeypatch, paired, most):
+    x, y, rows, labels = _uneven(spark)
+    passes, losses = [], LI._losses
+
+    def counted(*args):
+        evaluate = losses(*args)
+        return lambda points: (passes.append(1), evaluate(points))[1]
+
+    monkeypatch.setattr(LI, "_losses", counted)
+    monkeypatch.setattr(LI, "PAIRED", paired, raising=False)
+    cfg = LogisticConfig(C=1e4)
+    models = LI.fit_logistic(rows, 12, labels, rows.select("subject_id"), ["c0"], cfg)
+    p = 1 / (1 + np.exp(-(x @ models.coefficients[0] + models.intercepts[0])))
+    slope = (x.T @ (p - y) + models.coefficients[0] / cfg.C) / len(y)
+    assert models.report[0]["converged"] and np.abs(slope).max() < 2e-6 and abs((p - y).mean()) < 2e-6
+    assert len(passes) <= most
+
+
 def test_codes_in_groups_give_the_same_models(spark, monkeypatch):
     features, labels, examples = _data(spark)
     scope = examples.select("subject_id")
