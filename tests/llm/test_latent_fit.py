@@ -1,5 +1,6 @@
 """The latent space of op2 is fitted on every passage of every document."""
 
+import pickle
 import random
 
 import numpy as np
@@ -46,3 +47,36 @@ def test_the_space_covers_all_documents_and_whole_texts(spark, monkeypatch):
     got = sorted((r["text"], r["weight"]) for r in seen[0].collect())
     assert len(got) == 1_502 and max(len(t) for t, _ in got) == 10_003
     assert len({w for t, w in got if not t.startswith("one")}) == 1
+
+
+def test_words_that_recur_in_many_halves_are_given_back_whole():
+    rng = np.random.default_rng(4)
+    buckets = np.where(rng.random(900 * D.HALF) < 0.5, 7, rng.integers(0, 300, 900 * D.HALF))
+    buckets[-40:] = D.BUCKETS  # padding
+    sums = rng.standard_normal((901, 5)).astype(np.float32)
+    sums[-1] = 0
+    idf = np.append(rng.uniform(0.1, 3.0, D.BUCKETS), 0.0).astype(np.float32)
+    total, plain = np.zeros((D.BUCKETS + 1, 5), np.float32), np.zeros((D.BUCKETS + 1, 5))
+    D._give_back(sums, buckets.astype(np.uint16), idf, total)
+    np.add.at(plain, buckets, sums[np.arange(len(buckets)) // D.HALF] * idf[buckets][:, None])
+    assert np.allclose(total, plain, rtol=1e-3, atol=1e-3)
+
+
+def test_an_index_travels_without_its_widest_matrix():
+    rng = np.random.default_rng(6)
+    items = [D.Item(i, [f"w{rng.integers(4_000)}".encode() for _ in range(60)], []) for i in range(40)]
+    idf = rng.uniform(0.5, 4.0, D.BUCKETS)
+    basis = np.linalg.qr(rng.standard_normal((D.BUCKETS, 8)))[0].astype(np.float32)
+    index = D.LatentIndex(items, idf, basis, 0.4, 0.8, 0.5)
+    assert len(pickle.dumps(index)) < 0.25 * index.rows.nbytes
+    again = pickle.loads(pickle.dumps(index))
+    assert len(pickle.dumps(again)) < 0.25 * index.rows.nbytes
+    # Every passage is kept by half at least, and its latent vector has the length that the index says it has.
+    text = D.Texts([b" ".join(item.words) for item in items])
+    z = again.project(text, np.flatnonzero(text.opens))
+    assert (index.kept > 0.49).all() and np.allclose((z * z).sum(axis=1), index.kept, atol=1e-3)
+    assert np.allclose((z * again.passages).sum(axis=1), 1.0, atol=1e-3)
+    wide = index.rows[:-1, :-1] / index.weights[:-1, None]
+    assert np.allclose(wide.T @ wide, np.eye(wide.shape[1]), atol=1e-3)
+    text = [b"nothing here", b"a " + b" ".join(items[3].words[:55]) + b" tail"]
+    assert [[m[0] for m in found] for found in again.search(D.Texts(text))] == [[], [3]]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_size, ship, stored, text_bytes, vector_blocks, vector_sum
+from tidemark.llm.common import Shelf, by_size, ship, stored, text_bytes, vector_blocks, vector_sum
 
 BUCKETS = 1 << 15
 HALF = 16  # words; a window is two halves, so windows overlap by half
@@ -31,6 +31,8 @@ PASS_BLOCKS = 4
 FIT_TASKS, FIT_DOCS = (2, 64), 20_000
 # Halves whose words are multiplied at once.
 FIT_HALVES = 128
+HASHED_BYTES = 1 << 18  # of stored word buckets that are multiplied at once
+RUN = 8  # rows of a word that are added at once
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -97,14 +99,23 @@ class Texts:
 
     def __init__(self, texts: list[bytes]):
         self.words = [words_of(t) for t in texts]
-        sizes = np.array([len(w) for w in self.words], np.int64)
+        self._deal(np.array([len(w) for w in self.words], np.int64), word_buckets([w for words in self.words for w in words]))
+
+    @classmethod
+    def hashed(cls, parts: list[bytes]) -> Texts:
+        """Texts of which only the buckets of their words are known, as unsigned 16-bit numbers."""
+        self = cls.__new__(cls)
+        self._deal(np.array([len(p) // 2 for p in parts], np.int64), np.frombuffer(b"".join(parts), np.uint16))
+        return self
+
+    def _deal(self, sizes: np.ndarray, buckets: np.ndarray) -> None:
         pieces = np.maximum(-(-sizes // HALF), 1)  # halves of each text, the last one padded
         ends = np.cumsum(pieces)
         self.first = ends - pieces
-        self.owner = np.repeat(np.arange(len(texts)), pieces)
+        self.owner = np.repeat(np.arange(len(sizes)), pieces)
         flat = np.full((int(ends[-1]) + 1) * HALF, BUCKETS)  # a half of padding at the end
         where = np.repeat(self.first * HALF - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        flat[where] = word_buckets([w for words in self.words for w in words])
+        flat[where] = buckets
         self.halves = flat.reshape(-1, HALF)
         last = np.zeros(len(self.owner), bool)
         last[ends - 1] = True
@@ -118,22 +129,29 @@ class Texts:
         return np.concatenate([self.halves[windows], self.halves[self.second[windows]]], axis=1)
 
 
-def completed(basis: np.ndarray, rows: np.ndarray, keep: float) -> tuple[np.ndarray, np.ndarray]:
-    """Directions to add to ``basis`` until it keeps ``keep`` of every row's squared length, and the rows in the whole space.
+def completion(basis: np.ndarray, owner: np.ndarray, buckets: np.ndarray, values: np.ndarray, n: int, keep: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions to add to ``basis`` until it keeps ``keep`` of the squared length of each of ``n`` sparse rows.
 
-    They are the leading directions of what it loses of ``rows``, which are overwritten: the driver holds one such matrix.
+    The rows are given as entries sorted by ``owner``. They are the leading directions D of what the basis loses of the rows R: with the returned ``mix`` and
+    ``inside`` (the rows in the basis) D = R.T @ mix - basis @ (inside.T @ mix). Also returns the rows in the whole space.
+    Only products of rows with one another are formed, never a row as wide as the vocabulary.
     """
-    inside, whole = rows @ basis, np.einsum("ij,ij->i", rows, rows)
-    for a in range(0, len(rows), 64):
-        rows[a:a + 64] -= inside[a:a + 64] @ basis.T
-    kept = (inside * inside).sum(axis=1)
-    values, u = np.linalg.eigh((rows @ rows.T).astype(np.float64))
-    values, u = np.maximum(values[::-1], 0), u[:, ::-1]
-    gained = kept[:, None] + np.cumsum(u * u * values, axis=1)
+    used, place = np.unique(buckets, return_inverse=True)
+    gram, inside = np.zeros((n, n)), np.zeros((n, basis.shape[1]))
+    for a in range(0, len(used), 1_024):
+        mine = (place >= a) & (place < a + 1_024)
+        part = np.zeros((n, min(1_024, len(used) - a)))
+        np.add.at(part, (owner[mine], place[mine] - a), values[mine])
+        gram += part @ part.T
+        inside += part @ basis[used[a:a + 1_024]]
+    whole, kept = gram.diagonal(), (inside * inside).sum(axis=1)
+    lost, u = np.linalg.eigh(gram - inside @ inside.T)
+    lost, u = np.maximum(lost[::-1], 0), u[:, ::-1]
+    gained = kept[:, None] + np.cumsum(u * u * lost, axis=1)
     short = int((gained < keep * whole[:, None]).any(axis=0).sum())  # gains never fall, so these are the first
-    n = 0 if (kept >= keep * whole).all() else min(short + 1, int((values > 1e-5).sum()))
-    more = rows.T @ (u[:, :n] / np.sqrt(values[:n])).astype(np.float32)
-    return more, np.concatenate([inside, rows @ more], axis=1)
+    more = 0 if (kept >= keep * whole).all() else min(short + 1, int((lost > 1e-5).sum()))
+    mix = u[:, :more] / np.sqrt(lost[:more])
+    return mix, inside, np.concatenate([inside, u[:, :more] * np.sqrt(lost[:more])], axis=1)
 
 
 class LatentIndex:
@@ -159,19 +177,38 @@ class LatentIndex:
         self.owner = text.owner[at]
         buckets = text.buckets(at)
         weights = np.append(idf, 0.0).astype(np.float32)
-        rows = np.zeros((len(at), BUCKETS + 1), np.float32)
-        np.add.at(rows, (np.repeat(np.arange(len(at)), buckets.shape[1]), buckets.ravel()), weights[buckets].ravel())
-        rows /= np.sqrt(np.maximum((weights[buckets] ** 2).sum(axis=1), 1e-9))[:, None]
-        more, z = completed(basis, rows[:, :BUCKETS], keep)
-        del rows
-        # The projection of one occurrence of a word, and its share of a passage's squared TF-IDF length.
-        self.rows = np.zeros((BUCKETS + 1, z.shape[1] + 1), np.float32)  # the last row is padding
-        np.multiply(weights[:BUCKETS, None], basis, out=self.rows[:BUCKETS, :basis.shape[1]])
-        np.multiply(weights[:BUCKETS, None], more, out=self.rows[:BUCKETS, basis.shape[1]:-1])
-        self.rows[:, -1] = weights ** 2
+        length = np.sqrt(np.maximum((weights[buckets] ** 2).sum(axis=1), 1e-9))
+        owner, held = np.repeat(np.arange(len(at)), buckets.shape[1]), buckets.ravel()
+        real = held < BUCKETS
+        owner, held = owner[real], held[real]
+        mix, inside, z = completion(basis, owner, held, weights[held] / length[owner], len(at), keep)
+        # What ``rows`` is made of travels; the matrix itself is as wide as the vocabulary and is made by the tasks.
+        self.weights, self.basis, self.entries = weights, basis, (owner, held, (weights[held] / length[owner]).astype(np.float32))
+        self.mix, self.inside, self._rows = mix.astype(np.float32), (inside.T @ mix).astype(np.float32), None
         # What the space keeps of a benchmark passage is the cosine it has with itself; scaled so that this is 1.
         self.kept = (z * z).sum(axis=1)
-        self.passages = z / np.maximum(self.kept, 1e-9)[:, None]
+        self.passages = (z / np.maximum(self.kept, 1e-9)[:, None]).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_rows": None}
+
+    @property
+    def rows(self) -> np.ndarray:
+        """The projection of one occurrence of a word, and its share of a passage's squared TF-IDF length."""
+        if self._rows is None:
+            rank, width = self.basis.shape[1], self.mix.shape[1]
+            rows = np.zeros((BUCKETS + 1, rank + width + 1), np.float32)  # the last row is padding
+            owner, held, values = self.entries
+            for a in range(0, len(held), 1_024):
+                np.add.at(rows[:, rank:-1], held[a:a + 1_024], values[a:a + 1_024, None] * self.mix[owner[a:a + 1_024]])
+            for a in range(0, BUCKETS, 4_096):
+                part = slice(a, a + 4_096)
+                rows[a:min(a + 4_096, BUCKETS), :rank] = self.basis[part]
+                rows[a:min(a + 4_096, BUCKETS), rank:-1] -= self.basis[part] @ self.inside
+            rows[:, :-1] *= self.weights[:, None]
+            rows[:, -1] = self.weights ** 2
+            self._rows = rows
+        return self._rows
 
     def project(self, texts: Texts, windows: np.ndarray) -> np.ndarray:
         """Latent vectors of windows, by their TF-IDF length."""
@@ -260,23 +297,63 @@ def _multiply(texts: Texts, weights: np.ndarray, scaled: np.ndarray, idf: np.nda
     sums[:] = 0
     sums[begin] += found
     sums[second] += found  # each half is the second of one window at most, but for the padding, which gives nothing
-    for a in range(0, n, FIT_HALVES):
-        buckets = halves[a:min(a + FIT_HALVES, n)].ravel()
-        order = np.argsort(buckets, kind="stable")
-        held = buckets[order]
-        starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-        total[held[starts]] += np.add.reduceat(sums[a + order // HALF], starts, axis=0) * idf[held[starts]][:, None]
+    sums[n] = 0
+    _give_back(sums, halves[:n].ravel().astype(np.uint16), idf, total)
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, powers: int = 2, seed: int = 7) -> np.ndarray:
+def _give_back(sums: np.ndarray, buckets: np.ndarray, idf: np.ndarray, total: np.ndarray) -> None:
+    """Adds to each bucket's row of ``total`` the sums of the halves it occurs in; the last row of ``sums`` is zero.
+
+    Words are sorted by bucket, and the rows of a bucket are added a few at a time, and so are their sums, until one is left.
+    """
+    order = np.argsort(buckets, kind="stable")  # sorts 16 bits by digits
+    held, counts = np.unique(buckets[order], return_counts=True)
+    rows, at = sums, order // HALF
+    while len(held):
+        few = np.minimum(counts, RUN)
+        pieces = -(-counts // RUN)
+        base = np.cumsum(pieces) - pieces
+        inside = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        runs = np.full((int(pieces.sum()), int(few.max())), len(rows) - 1)
+        runs[np.repeat(base, counts) + inside // RUN, inside % RUN] = at
+        longest = np.ones(len(runs), np.int64)
+        longest[base] = few
+        longest[np.repeat(pieces > 1, pieces)] = RUN
+        added = np.zeros((len(runs) + 1, sums.shape[1]), np.float32)
+        # Runs of one length together, so that lone words are not added to padding.
+        for length in range(1, runs.shape[1] + 1):
+            mine = np.flatnonzero(longest == length)
+            for a in range(0, len(mine), 4 * FIT_HALVES):
+                part = mine[a:a + 4 * FIT_HALVES]
+                add = rows.take(runs[part, 0], axis=0)
+                for k in range(1, length):
+                    add += rows.take(runs[part, k], axis=0)
+                added[part] = add
+        done = pieces == 1
+        total[held[done]] += added[base[done]] * idf[held[done]][:, None]
+        left = np.flatnonzero(np.repeat(~done, pieces))
+        rows, at, held, counts = added, left, held[~done], pieces[~done]
+
+
+def _hashed(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (text, weight) with the buckets of the text's words instead of it."""
+    for batch in batches:
+        words = [word_buckets(words_of(t)).astype(np.uint16).tobytes() for t in text_bytes(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column(1)], ["words", "weight"])
+
+
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, powers: int = 2, seed: int = 7, tasks: int = 8) -> np.ndarray:
     """An orthonormal basis (buckets x rank) of the leading right singular vectors of the TF-IDF matrix of ``passages``.
 
     ``passages`` has columns text and weight; a weight stands for so many repeats of its rows.
 
     Each round multiplies a thin matrix by A and then by its transpose. Executors hold rows of A only as
-    word lists; their partial products have a fixed size and are summed before they reach the driver.
+    word buckets, which are stored once for all rounds; their partial products have a fixed size and are summed before they reach
+    the driver. ``tasks`` make them.
     """
     width = rank + extra
+    shelf = Shelf(passages.sparkSession)
+    hashed = shelf.put(passages.select("text", "weight").mapInArrow(_hashed, "words binary, weight double"), "hashed").coalesce(tasks)
     # Single precision throughout: the driver holds a few matrices of this size and no more.
     thin = np.linalg.qr(np.random.default_rng(seed).standard_normal((BUCKETS, width), dtype=np.float32))[0]
     for _ in range(powers + 1):
@@ -287,15 +364,16 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int =
             scaled, rare = np.append(sent.value, np.zeros((1, width), np.float32), axis=0), np.append(idf, 0.0).astype(np.float32)
             total = np.zeros_like(scaled)
             for batch in batches:
-                texts, weights = text_bytes(batch.column(0)), batch.column(1).to_numpy()
-                for a, b in by_size([len(t) for t in texts]):
-                    _multiply(Texts(texts[a:b]), weights[a:b], scaled, rare, total)
+                words, weights = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                for a, b in by_size([len(w) for w in words], HASHED_BYTES):
+                    _multiply(Texts.hashed(words[a:b]), weights[a:b], scaled, rare, total)
             yield vector_blocks(total[:BUCKETS])
 
-        product = vector_sum(passages.select("text", "weight").mapInArrow(run, "block int, part binary"), BUCKETS * width, np.float32)
+        product = vector_sum(hashed.mapInArrow(run, "block int, part binary"), BUCKETS * width, np.float32)
         sent.destroy(blocking=True)
         thin, small = np.linalg.qr(product.reshape(BUCKETS, width))
         thin = thin @ np.linalg.svd(small)[0]
+    shelf.free("hashed")
     return thin[:, :rank]
 
 
@@ -320,8 +398,7 @@ def index_passes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine:
     idf = np.log((1.0 + df[BUCKETS]) / (1.0 + df[:BUCKETS])) + 0.01
     corpus = docs.select(F.col("text").cast("string").alias("text"), F.lit(corpus_weight / max(corpus_weight, float(df[BUCKETS]))).alias("weight"))
     passages = rows.select("text", F.lit(query_weight).alias("weight")).union(corpus).filter("text is not null")
-    passages = passages.coalesce(min(FIT_TASKS[1], FIT_TASKS[0] + int(df[BUCKETS]) // FIT_DOCS))
-    basis = randomised_svd(passages, idf, rank)
+    basis = randomised_svd(passages, idf, rank, tasks=min(FIT_TASKS[1], FIT_TASKS[0] + int(df[BUCKETS]) // FIT_DOCS))
     # An item of one window has at least one passage, so blocks of items bound the passages by their words.
     blocks, block, held = [], [], 0
     for item in make_items(rows.orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator(), min_words):
