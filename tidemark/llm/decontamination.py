@@ -319,7 +319,13 @@ def _give_back(sums: np.ndarray, buckets: np.ndarray, idf: np.ndarray, total: np
         longest = np.ones(len(runs), np.int64)
         longest[base] = few
         longest[np.repeat(pieces > 1, pieces)] = RUN
-        added = np.zeros((len(runs) + 1, sums.shape[1]), np.float32)
+        # Runs of words that are done go to ``total`` at once, the others are added again.
+        done = pieces == 1
+        word = np.repeat(np.where(done, np.arange(len(held)), -1), pieces)
+        left = np.flatnonzero(word < 0)
+        place = np.empty(len(runs), np.int64)
+        place[left] = np.arange(len(left))
+        added = np.zeros((len(left) + 1, sums.shape[1]), np.float32)
         # Runs of one length together, so that lone words are not added to padding.
         for length in range(1, runs.shape[1] + 1):
             mine = np.flatnonzero(longest == length)
@@ -328,11 +334,11 @@ def _give_back(sums: np.ndarray, buckets: np.ndarray, idf: np.ndarray, total: np
                 add = rows.take(runs[part, 0], axis=0)
                 for k in range(1, length):
                     add += rows.take(runs[part, k], axis=0)
-                added[part] = add
-        done = pieces == 1
-        total[held[done]] += added[base[done]] * idf[held[done]][:, None]
-        left = np.flatnonzero(np.repeat(~done, pieces))
-        rows, at, held, counts = added, left, held[~done], pieces[~done]
+                last = word[part] >= 0
+                named = held[word[part[last]]]
+                total[named] += add[last] * idf[named][:, None]
+                added[place[part[~last]]] = add[~last]
+        rows, at, held, counts = added, np.arange(len(left)), held[~done], pieces[~done]
 
 
 def _hashed(batches) -> Iterator[pa.RecordBatch]:
