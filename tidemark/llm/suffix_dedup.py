@@ -32,6 +32,7 @@ GRAM = 32  # bytes of an anchor
 SEGMENT = 1 << 20  # bytes of a text hashed at once
 # Different contexts of one anchor that a task holds; with more, the anchor is dealt by stretch.
 GROUP_ROWS = 1_024
+RANGE = 1 << 32  # more than the bytes of any text
 PART = 13  # neighbouring stretches of a crowded anchor that are first looked at together
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -414,14 +415,19 @@ class RepeatIndex:
             "anchor", "low", "high", "depth", null_id(F.col("d")).alias("doc_id"), (F.col("start") + F.col("offset")).alias("start"))
 
     def spans(self) -> DataFrame:
-        """(d, mark, spans): the ranges of bytes of a text that lie in repeats, in no order and with overlaps."""
-        run = F.struct(F.col("offset").alias("a"), (F.col("offset") + F.col("reach")).alias("b"))
-        covered = (self.trees.filter("reach > 0").select("anchor", "context", run.alias("r")).unionByName(self.crowded)
+        """(d, mark, spans): the ranges of bytes of a text that lie in repeats, in no order and with overlaps.
+
+        A range is one number, ``RANGE`` times its first byte and the byte after its last: a quarter of the bytes of a structure.
+        """
+        packed = lambda a, b: (a.cast("long") * RANGE + b).alias("r")
+        run = packed(F.col("offset"), F.col("offset") + F.col("reach"))
+        crowded = self.crowded.select("anchor", "context", packed(F.col("r.a"), F.col("r.b")))
+        covered = (self.trees.filter("reach > 0").select("anchor", "context", run).unionByName(crowded)
                    .groupBy("anchor", "context").agg(F.collect_set("r").alias("runs")))
-        whole = self.whole.select("anchor", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("all"))
+        whole = self.whole.select("anchor", "context", F.array(F.col("size").cast("long")).alias("all"))
         by_context = stored(self.places.sparkSession, whole.join(covered, ["anchor", "context"], "full").select(
             "anchor", "context", F.coalesce("all", "runs").alias("runs")), "runs")
-        shifted = F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b")))
+        shifted = F.transform("runs", lambda r: r + F.col("start") * F.lit(RANGE + 1))
         return (self.places.join(by_context, ["anchor", "context"]).select("d", "mark", shifted.alias("runs"))
                 .groupBy("d", "mark").agg(F.flatten(F.collect_list("runs")).alias("spans")))
 
@@ -443,9 +449,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
             for text, found in zip(texts, spans):
                 merged: list[list[int]] = []
                 if found.is_valid:
-                    inner = found.values
-                    pairs = zip(inner.field(0).to_pylist(), inner.field(1).to_pylist())
-                    for a, b in sorted(set(pairs)):
+                    for a, b in zip(*(v.tolist() for v in np.divmod(np.unique(found.values.to_numpy()), RANGE))):
                         if merged and a <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], b)
                         else:
