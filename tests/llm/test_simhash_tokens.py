@@ -3,12 +3,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch
+from tidemark.llm import token_store as T
+from tidemark.llm.common import batch_bytes, scratch
 from tidemark.llm.elias_fano import EliasFano
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.simhash_dedup import components, near_duplicates, near_pairs
@@ -121,3 +123,25 @@ def test_no_documents(spark):
     path = scratch(spark, "tokens")
     write_tokens(spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0), path, tokenizer_path())
     assert read_tokens(spark, path).collect() == []
+
+
+def test_texts_reach_the_encoder_in_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    key, longest, encode = "spark.sql.execution.arrow.maxBytesPerBatch", 200 << 10, T.WordEncoder.encode
+    before = spark.conf.get(key, None)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr(f"repeat('some words ', {longest // 11})").alias("text"))
+    with batch_bytes(spark, 1 << 20):
+        sizes = docs.select("text").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in it), "n long").collect()
+    assert max(r["n"] for r in sizes) <= (1 << 20) + 2 * longest and len(sizes) >= 50
+    assert spark.conf.get(key, None) == before
+    seen = []
+    monkeypatch.setattr(T, "batch_bytes", lambda s, most: (seen.append(most), batch_bytes(s, most))[1])
+    T.write_tokens(docs.limit(5), str(tmp_path / "bounded"), tokenizer_path(), 1, parts=1)
+    assert seen == [T.ENCODED_BYTES] and spark.conf.get(key, None) == before
+
+
+def test_the_word_memory_takes_four_bytes_a_number():
+    encoder = T.WordEncoder(tokenizer_path())
+    words = [f"w{i}x".encode() for i in range(5_000)]
+    ids = encoder.encode([b" ".join(words)], 1)[0]
+    assert ids.tolist() == [*encoder.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, 1]
+    assert all(x.itemsize == 4 for x in (encoder.begin, encoder.count, encoder.flat))

@@ -15,13 +15,16 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.llm.common import LOWER_ASCII, by_size, ship, text_bytes
+from tidemark.llm.common import LOWER_ASCII, batch_bytes, by_size, ship, text_bytes
 from tidemark.llm.elias_fano import EliasFano
 
 BLOCK_TOKENS = 1 << 20
+# Bytes of text that a task receives and encodes at once, and words that the tokenizer gets at once; both bound memory.
+ENCODED_BYTES, LEARNED_WORDS = 4 << 20, 2_000
 # Words whose ids a worker remembers; it bounds memory and changes no result.
 REMEMBERED_WORDS = 700_000
 
@@ -51,7 +54,7 @@ class WordEncoder:
         self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # A word's row gives where its ids begin in one flat array, and how many they are.
         self.rows: dict[bytes, int] = {}
-        self.begin, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64), 0
+        self.begin, self.count, self.flat, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32), 0
         self.marks = {m: self._plain([chr(m)])[0] for m in b".,"}
 
     def _plain(self, texts: list[str]) -> list[tuple[int, ...]]:
@@ -70,8 +73,8 @@ class WordEncoder:
         for w in dict.fromkeys([*(w for w in missing if w not in stems), *stems.values()]):
             if w not in self.rows:
                 (single if _ONE_WORD.match(w.decode()) else odd).append(w)
-        for a in range(0, len(single), 2_000):
-            part = single[a:a + 2_000]
+        for a in range(0, len(single), LEARNED_WORDS):
+            part = single[a:a + LEARNED_WORDS]
             ids = np.array(self._plain([b" ".join(part).decode()])[0])
             cuts = np.flatnonzero(self.closing[ids]) + 1
             if len(cuts) != len(part):
@@ -79,7 +82,9 @@ class WordEncoder:
             flat, start = ids.tolist(), 0
             for w, stop in zip(part, cuts.tolist()):
                 found[w], start = tuple(flat[start:stop]), stop
-        found.update(zip(odd, self._plain([w.decode() for w in odd])))
+        for a in range(0, len(odd), LEARNED_WORDS):
+            part = odd[a:a + LEARNED_WORDS]
+            found.update(zip(part, self._plain([w.decode() for w in part])))
         for w, stem in stems.items():
             found[w] = (found[stem] if stem in found else self._ids(stem)) + self.marks[w[-1]]
         counts = np.fromiter(map(len, found.values()), np.int64, len(found))
@@ -156,9 +161,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         ids, ends, held = [], [], 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in by_size([len(t) for t in texts], 4 << 20):
-                for key, x in zip(keys[a:b], encoder.encode(texts[a:b], end_id)):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in by_size(pc.binary_length(texts).fill_null(0).to_pylist(), ENCODED_BYTES):
+                for key, x in zip(keys[a:b], encoder.encode(text_bytes(texts.slice(a, b - a)), end_id)):
                     if ids and held + len(x) > block_tokens:
                         yield pa.RecordBatch.from_pylist([_block(part, seq, first, ids, ends, width)], schema)
                         seq, first, ids, ends, held = seq + 1, first + held, [], [], 0
@@ -168,9 +173,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
         if ids:
             yield pa.RecordBatch.from_pylist([_block(part, seq, first, ids, ends, width)], schema)
 
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-     .repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-     .mapInArrow(run, _BLOCK).write.option("compression", "zstd").parquet(path))
+    with batch_bytes(spark, ENCODED_BYTES):
+        (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+         .repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+         .mapInArrow(run, _BLOCK).write.option("compression", "zstd").parquet(path))
 
 
 def boundaries(row: dict) -> EliasFano:
