@@ -80,3 +80,22 @@ def test_an_index_travels_without_its_widest_matrix():
     assert np.allclose(wide.T @ wide, np.eye(wide.shape[1]), atol=1e-3)
     text = [b"nothing here", b"a " + b" ".join(items[3].words[:55]) + b" tail"]
     assert [[m[0] for m in found] for found in again.search(D.Texts(text))] == [[], [3]]
+
+
+def test_the_corpus_is_split_into_words_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Alpha beta beta gamma"), (2, None), (3, "beta"), (4, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    seen, fit = {}, D.randomised_svd
+
+    def spied(passages, idf, *a, words, **b):
+        seen["idf"] = idf
+        seen["words"] = sorted((bytes(r["words"]), r["weight"]) for r in words.collect() if r["words"])
+        seen["plain"] = sorted((D.word_buckets(D.words_of(r["text"].encode())).astype(np.uint16).tobytes(), r["weight"]) for r in passages.collect() if r["text"])
+        return fit(passages, idf, *a, words=words, **b)
+
+    monkeypatch.setattr(D, "randomised_svd", spied)
+    assert len(list(D.index_passes(docs, benchmark))) == 1
+    assert seen["words"] == seen["plain"] and len(seen["words"]) == 3
+    held = {w: seen["idf"][D.word_buckets([w])[0]] for w in (b"alpha", b"beta", b"six")}
+    # Four documents, of which one holds the first word, two the second and none the third.
+    assert np.allclose([held[b"alpha"], held[b"beta"], held[b"six"]], np.log(5.0 / np.array([2.0, 3.0, 1.0])) + 0.01)

@@ -268,18 +268,21 @@ class LatentIndex:
             found[item.item_id] = (low, score, common)
 
 
-def _document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Documents that hold each bucket; the last place counts all documents."""
+def _document_frequencies(hashed: DataFrame) -> np.ndarray:
+    """Documents that hold each bucket, from the buckets of their words; the last place counts all documents."""
 
     def run(batches):
         df = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                df[np.unique(word_buckets(words_of(text)))] += 1
-                df[BUCKETS] += 1
+            words = batch.column(0).to_pylist()
+            for a, b in by_size([len(w) for w in words], HASHED_BYTES):
+                flat = np.frombuffer(b"".join(words[a:b]), np.uint16)
+                owner = np.repeat(np.arange(b - a), [len(w) // 2 for w in words[a:b]])
+                df[:BUCKETS] += np.bincount(np.unique(owner * BUCKETS + flat) % BUCKETS, minlength=BUCKETS)
+                df[BUCKETS] += b - a
         yield vector_blocks(df)
 
-    return vector_sum(docs.select(F.col("text").cast("string")).mapInArrow(run, "block int, part binary"), BUCKETS + 1, np.int64)
+    return vector_sum(hashed.select("words").mapInArrow(run, "block int, part binary"), BUCKETS + 1, np.int64)
 
 
 def _multiply(texts: Texts, weights: np.ndarray, scaled: np.ndarray, idf: np.ndarray, total: np.ndarray) -> None:
@@ -342,24 +345,27 @@ def _give_back(sums: np.ndarray, buckets: np.ndarray, idf: np.ndarray, total: np
 
 
 def _hashed(batches) -> Iterator[pa.RecordBatch]:
-    """Rows (text, weight) with the buckets of the text's words instead of it."""
+    """The buckets of the words of texts (null: none), with any other columns."""
     for batch in batches:
         words = [word_buckets(words_of(t)).astype(np.uint16).tobytes() for t in text_bytes(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column(1)], ["words", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *batch.columns[1:]], ["words", *batch.schema.names[1:]])
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, powers: int = 2, seed: int = 7, tasks: int = 8) -> np.ndarray:
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, powers: int = 2, seed: int = 7, tasks: int = 8,
+                   words: DataFrame | None = None) -> np.ndarray:
     """An orthonormal basis (buckets x rank) of the leading right singular vectors of the TF-IDF matrix of ``passages``.
 
     ``passages`` has columns text and weight; a weight stands for so many repeats of its rows.
 
     Each round multiplies a thin matrix by A and then by its transpose. Executors hold rows of A only as
     word buckets, which are stored once for all rounds; their partial products have a fixed size and are summed before they reach
-    the driver. ``tasks`` make them.
+    the driver. ``tasks`` make them. ``words`` are the same passages as stored buckets (words, weight), where the caller has them.
     """
     width = rank + extra
     shelf = Shelf(passages.sparkSession)
-    hashed = shelf.put(passages.select("text", "weight").mapInArrow(_hashed, "words binary, weight double"), "hashed").coalesce(tasks)
+    if words is None:
+        words = shelf.put(passages.select("text", "weight").mapInArrow(_hashed, "words binary, weight double"), "hashed")
+    hashed = words.coalesce(tasks)
     # Single precision throughout: the driver holds a few matrices of this size and no more.
     thin = np.linalg.qr(np.random.default_rng(seed).standard_normal((BUCKETS, width), dtype=np.float32))[0]
     for _ in range(powers + 1):
@@ -400,11 +406,18 @@ def index_passes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine:
     total = rows.count()
     if not total:
         return
-    df = _document_frequencies(docs)
+    # The corpus is split into words once, for its document frequencies and for every round of the fit.
+    shelf = Shelf(spark)
+    text = F.col("text").cast("string").alias("text")
+    hashed = shelf.put(docs.select(text).mapInArrow(_hashed, "words binary"), "hashed")
+    df = _document_frequencies(hashed)
     idf = np.log((1.0 + df[BUCKETS]) / (1.0 + df[:BUCKETS])) + 0.01
-    corpus = docs.select(F.col("text").cast("string").alias("text"), F.lit(corpus_weight / max(corpus_weight, float(df[BUCKETS]))).alias("weight"))
-    passages = rows.select("text", F.lit(query_weight).alias("weight")).union(corpus).filter("text is not null")
-    basis = randomised_svd(passages, idf, rank, tasks=min(FIT_TASKS[1], FIT_TASKS[0] + int(df[BUCKETS]) // FIT_DOCS))
+    weighed = F.lit(corpus_weight / max(corpus_weight, float(df[BUCKETS]))).alias("weight")
+    asked = rows.select("text", F.lit(query_weight).alias("weight"))
+    passages = asked.union(docs.select(text, weighed)).filter("text is not null")
+    words = asked.mapInArrow(_hashed, "words binary, weight double").union(hashed.select("words", weighed))
+    basis = randomised_svd(passages, idf, rank, tasks=min(FIT_TASKS[1], FIT_TASKS[0] + int(df[BUCKETS]) // FIT_DOCS), words=words)
+    shelf.free("hashed")
     # An item of one window has at least one passage, so blocks of items bound the passages by their words.
     blocks, block, held = [], [], 0
     for item in make_items(rows.orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator(), min_words):
