@@ -2,6 +2,7 @@
 
 import math
 import random
+import weakref
 
 import numpy as np
 import pytest
@@ -325,3 +326,41 @@ def test_range_rank_over_groups_and_ranges(spark):
     for mine in groups.values():
         assert [r["rank"] for r in mine] == list(range(len(mine))) and {r["rank_n"] for r in mine} == {len(mine)}
     assert DI.range_rank(df.limit(0), ["g", "k"], ["v", "i"]).count() == 0
+
+
+def test_sums_of_trees_hold_one_block_at_a_time_and_come_once_a_task(spark):
+    layout = BO.Layout(np.array([0, 4]), np.array([3, 7]), np.array([1, 0]))
+    rng = np.random.default_rng(8)
+
+    def block():
+        bins = np.stack([rng.integers(0, 4, 50), rng.integers(0, 4, 50)], axis=1).astype(np.uint16)
+        y, risk = (rng.random((2, 50, 3)) < 0.6).astype(np.uint8)
+        return BO.TreeBlock(bins, y, risk, rng.standard_normal((50, 3)), range(3))
+
+    made, alive = [], []
+
+    def stream():
+        for _ in range(6):
+            one = block()
+            made.append((one.bins, one.y, one.risk, one.raw))
+            alive.append(weakref.ref(one))
+            yield one
+            del one
+            assert sum(r() is not None for r in alive) <= 2
+
+    root = {code: (BO.Tree(), [0]) for code in range(3)}
+    found = dict(BO._sums(stream(), root, layout))
+    assert sorted(found) == [0, 1, 2]
+    for code, (total, at, sums) in found.items():
+        plain, dense = np.zeros((3, 8)), np.zeros((3, 8))
+        for bins, y, risk, raw in made:
+            for i in np.flatnonzero(risk[:, code]):
+                p = 1 / (1 + np.exp(-raw[i, code]))
+                for f in (0, 1):
+                    if bins[i, f] != layout.zero[f]:
+                        plain[:, layout.offset[f] + bins[i, f]] += p - y[i, code], p * (1 - p), 1
+        dense[:, at] = sums
+        assert np.allclose(dense, plain) and total[2, 0] == sum(m[2][:, code].sum() for m in made)
+    many = spark.sparkContext.parallelize(range(40), 40)
+    assert BO.few_tasks(many, 4).getNumPartitions() == 8 and sorted(BO.few_tasks(many, 4).collect()) == list(range(40))
+    assert BO.few_tasks(many, 20).getNumPartitions() == 40
