@@ -226,3 +226,20 @@ def test_rank_of_all_rows_without_a_group(spark):
     expected = [r["id"] for r in sorted(rows.collect(), key=lambda r: (r["k"] is not None, r["k"] or "", r["id"]))]
     assert [got[i] for i in expected] == list(range(1_000))
     assert range_rank(rows.limit(0), [], ["k", "id"]).collect() == []
+
+
+def test_labels_are_multiplied_by_the_targets_after_the_last_join(spark):
+    day = lambda n: dt(2020, 1, 1) + timedelta(days=n)
+    examples = frame(spark, [(1, day(10), day(20), "train", True), (1, day(5), day(9), "train", False), (2, day(10), None, "test", True),
+                             (3, day(10), day(20), "train", True)], "subject_id long, cutoff timestamp_ntz, window_end timestamp_ntz, split string, is_real boolean")
+    first = frame(spark, [(1, "a", day(9)), (1, "b", day(20)), (2, "a", day(11)), (2, "b", day(1)), (9, "a", day(1))],
+                  "subject_id long, code string, first timestamp_ntz")
+    pairs = L.label_pairs(examples, first, frame(spark, [("a",), ("b",), ("c",)], "code string"))
+    got = {(r["subject_id"], r["cutoff"], r["code"]): (r["y"], r["prevalent"], r["at_risk"]) for r in pairs.collect()}
+    none, incident, prevalent = (0, 0, 1), (1, 0, 1), (0, 1, 0)
+    assert got == {(1, day(10), "a"): prevalent, (1, day(10), "b"): incident, (1, day(10), "c"): none,
+                   (1, day(5), "a"): incident, (1, day(5), "b"): none, (1, day(5), "c"): none,
+                   (2, day(10), "a"): none, (2, day(10), "b"): prevalent, (2, day(10), "c"): none,
+                   (3, day(10), "a"): none, (3, day(10), "b"): none, (3, day(10), "c"): none}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
