@@ -109,3 +109,12 @@ def test_columns_of_any_name_pass_through_the_mix(spark):
     assert all(r[n] == n for r in rows for n in names)
     key = lambda r: (r["doc_id"], r["text"], r["n_chars"])
     assert sorted(map(key, rows)) == sorted(map(key, plain)) and rows
+
+
+def test_texts_are_neither_sorted_nor_laid_in_windows(spark):
+    rows = [(k, f"w{k} " * 30, "en", "ab"[k % 2], 90) for k in range(20)]
+    plan = mixed_documents(spark.createDataFrame(rows, COLUMNS))._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = re.findall(r"^\(\d+\) (\w+)[^\n]*\n(.*?)(?=^\(\d+\) |\Z)", plan, re.M | re.S)
+    holds = {name for name, body in nodes if re.search(r"^Input[^\n]*\b(text|_row)#", body, re.M)}
+    assert "ShuffledHashJoin" in {name for name, _ in nodes} and not holds & {"Sort", "Window", "SortMergeJoin"}, holds

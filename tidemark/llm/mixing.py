@@ -140,7 +140,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     columns = docs.columns
     packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("_row"))
-    m = mix(sized(packed), **settings).withColumn("_run", F.explode("runs"))
+    # Only sizes are laid end to end and sorted; the runs then meet the texts by a number stored with each row, whose
+    # side of the join is the one that is hashed, so no task sorts or holds texts.
+    base = stored(docs.sparkSession, sized(packed).withColumn("_at", F.monotonically_increasing_id()), "texts")
+    runs = mix(base.drop("text", "_row"), **settings).filter(F.size("runs") > 0).select("_at", "runs")
+    m = base.join(runs.hint("shuffle_hash"), "_at").withColumn("_run", F.explode("runs"))
     whole = (F.col("_run.from") == 0) & (F.col("_run.to") == F.col("size"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     part = F.array_join(F.slice(words, (F.col("_run.from") + 1).cast("int"), (F.col("_run.to") - F.col("_run.from")).cast("int")), " ")
